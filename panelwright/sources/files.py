@@ -64,19 +64,24 @@ def write_table(
     path: str,
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
+    files_per_partition: int = 32,
     order_by: Sequence[str | Column] = (),
     mode: str = "overwrite",
 ) -> None:
-    """Write a result table.
+    """Write a result table, the only place where a global order is made.
 
-    Rows of one output partition are first spread by a hash of the whole row over
-    ``spark.sql.shuffle.partitions`` tasks' worth of files only when ``order_by`` asks
-    for a global order; otherwise tasks write what they hold, so a large period is
-    written by many tasks.
+    With ``partition_by`` the rows of one partition value go to ``files_per_partition``
+    tasks by a hash of the whole row: neither one task per value, which a dominant period
+    would overload, nor one small file per task and value.
     """
     if order_by:
         df = df.orderBy(*order_by)
-    writer = df.write.mode(mode).partitionBy(*partition_by)
+    elif partition_by:
+        slot = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
+        df = df.repartition(*partition_by, slot)
+    writer = df.write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
         writer.option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
     else:
