@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright import presets
 from panelwright.functions import band, clip_nonneg, finite_or_null, share
-from panelwright.operators.ranking import attach_ranks, group_key, measure, tie_positions, top_k_per_group
+from panelwright.operators.ranking import attach_ranks, tie_positions, top_k_per_group
 
 INDICATOR_MARKETS = ("stock_base", "stock_current", "growth_pos")
 ACTOR_MARKETS = ("total", "armed", "support")
