@@ -30,7 +30,12 @@ def _top_mass(k: Column) -> Column:
     return _mass_in(F.lit(1), k)
 
 
-N, MASS = F.max("group_rows"), F.max("group_mass")
+def _n() -> Column:
+    return F.max("group_rows")
+
+
+def _mass() -> Column:
+    return F.max("group_mass")
 
 
 def _gini() -> Column:
@@ -38,7 +43,7 @@ def _gini() -> Column:
     rows, last = F.col("rows"), F.col("group_rows") - F.col("above_rows")
     places = rows * last - rows * (rows - 1) / 2
     weighted = F.sum(F.col("x") * places)
-    return F.when(MASS <= 0, F.lit(0.0)).otherwise(2 * weighted / (N * MASS) - (N + 1) / N)
+    return F.when(_mass() <= 0, F.lit(0.0)).otherwise(2 * weighted / (_n() * _mass()) - (_n() + 1) / _n())
 
 
 def _palma() -> Column:
@@ -46,11 +51,11 @@ def _palma() -> Column:
     n = F.col("group_rows")
     top = _top_mass(F.greatest(F.lit(1), F.floor(n * F.lit(0.10))))
     bottom = _mass_in(F.ceil(n * F.lit(0.60)), n)
-    return F.when(MASS > 0, F.try_divide(top, bottom))
+    return F.when(_mass() > 0, F.try_divide(top, bottom))
 
 
 def _hhi() -> Column:
-    return F.when(MASS > 0, F.sum(F.col("rows") * F.col("x") * F.col("x")) / (MASS * MASS) * 10000)
+    return F.when(_mass() > 0, F.sum(F.col("rows") * F.col("x") * F.col("x")) / (_mass() * _mass()) * 10000)
 
 
 def _cr(k: int, ties: str, empty: float | None) -> Column:
@@ -59,7 +64,7 @@ def _cr(k: int, ties: str, empty: float | None) -> Column:
         top = F.sum(F.when(F.col("above_values") < k, F.col("rows") * F.col("x")).otherwise(F.lit(0.0)))
     else:
         top = _top_mass(F.lit(k))
-    return F.when(MASS > 0, top / MASS * 100).otherwise(F.lit(empty).cast("double"))
+    return F.when(_mass() > 0, top / _mass() * 100).otherwise(F.lit(empty).cast("double"))
 
 
 def hhi(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -105,7 +110,7 @@ def top_share(df: DataFrame, value: str, fractions: Sequence[float]) -> DataFram
     columns = []
     for p in fractions:
         k = F.greatest(F.lit(1), F.ceil(n * F.lit(p)))
-        columns.append(F.try_divide(_top_mass(k), MASS).alias(f"top{round(p * 100)}"))
+        columns.append(F.try_divide(_top_mass(k), _mass()).alias(f"top{round(p * 100)}"))
     return ranks.agg(*columns)
 
 
@@ -125,8 +130,8 @@ def concentration_indices(
     """All indices of each group from one pass over its value ranks."""
     empty = 0.0 if ties == "dense" else None
     indices = value_ranks(df, by, value).groupBy("grp").agg(
-        N.alias("n"),
-        MASS.alias("total"),
+        _n().alias("n"),
+        _mass().alias("total"),
         _hhi().alias("hhi"),
         _cr(3, ties, empty).alias("cr3"),
         _cr(5, ties, empty).alias("cr5"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright import presets
 from panelwright.functions import band, finite_or_null, safe_pct
@@ -79,7 +79,7 @@ def score_components(
 ) -> DataFrame:
     """Every indicator of every entity with its change, points and weighted score.
 
-    Entities are those of ``coded``; an indicator an entity lacks has levels of zero... and
+    Entities are those of ``coded``; an indicator that an entity lacks has NULL levels and
     scores zero. Without ``labels`` the aggregation holds numbers only and stays a hash
     aggregation.
     """
@@ -150,8 +150,6 @@ def score_contribution(components: DataFrame, entity: Sequence[str]) -> DataFram
 
     The window holds one row per indicator code.
     """
-    from pyspark.sql import Window
-
     total = F.sum("weighted_score").over(Window.partitionBy(*entity))
     part = F.when(total > 0, F.col("weighted_score") / total * 100).otherwise(F.lit(0.0))
     return components.withColumn("contribution_pct", part)
