@@ -76,17 +76,20 @@ def pivot_compare(
     keys: Sequence[str] = PANEL_KEYS,
     period: str = "period",
     value: str = "value",
+    combine: str = "max",
 ) -> DataFrame:
     """One row per key with the values of two periods.
 
     Periods are given, so no job looks for them, and the conditional aggregates combine
     map-side, so a key that holds most rows costs no more than another. A key should
-    have one row per period (see ``duplicate_keys``); of several the largest is taken.
+    have one row per period (see ``duplicate_keys``), and of several the largest is taken;
+    ``combine="sum"`` builds the panel from unaggregated observations in the same pass.
     """
     both = period_filter(df, [base, current], period)
+    merge = F.sum if combine == "sum" else F.max
 
     def at(p: int) -> Column:
-        return F.max(F.when(F.col(period) == p, F.col(value).cast("double")))
+        return merge(F.when(F.col(period) == p, F.col(value))).cast("double")
 
     return both.groupBy(*keys).agg(at(base).alias("value_base"), at(current).alias("value_current"))
 

@@ -22,8 +22,8 @@ LONG_SCHEMA = T.StructType([
 ])
 
 
-def _csv(spark: SparkSession):
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"')
+def _csv(spark: SparkSession, header: bool = True):
+    return spark.read.option("header", header).option("quote", '"').option("escape", '"')
 
 
 def read_indicator_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -38,7 +38,9 @@ def read_indicator_csv(spark: SparkSession, path: str, schema: T.StructType) ->
     ])
 
 
-def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_with_quarantine(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Split a CSV into well-formed rows and the text of malformed lines.
 
     A line is malformed when it has too few or too many fields or a field that does
@@ -46,7 +48,7 @@ def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType) -
     """
     marked = T.StructType([*schema.fields, T.StructField("corrupt_line", T.StringType())])
     rows = (
-        _csv(spark)
+        _csv(spark, header)
         .schema(marked)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "corrupt_line")
