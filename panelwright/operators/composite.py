@@ -32,15 +32,15 @@ def change_features(panel: DataFrame) -> DataFrame:
 
 def global_shares(df: DataFrame) -> DataFrame:
     """Shares of the grand totals; zero when the total is not positive or the part unknown."""
-    totals = df.agg(F.struct(F.sum("stock").alias("stock"), F.sum("delta_pos").alias("growth")).alias("t")).scalar()
+    totals = df.agg(F.struct(F.sum("stock").alias("stock"), F.sum("delta_pos").alias("growth")))
 
     def part(value: str, total: Column) -> Column:
         return F.when((total > 0) & F.col(value).isNotNull(), F.col(value) / total).otherwise(F.lit(0.0))
 
-    return df.withColumns({
-        "stock_share": part("stock", totals["stock"]),
-        "growth_share": part("delta_pos", totals["growth"]),
-    })
+    return df.withColumn("totals", totals.scalar()).withColumns({
+        "stock_share": part("stock", F.col("totals.stock")),
+        "growth_share": part("delta_pos", F.col("totals.growth")),
+    }).drop("totals")
 
 
 def keyword_flags(
@@ -85,18 +85,16 @@ def safe_rescale(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] =
         # A struct key, so that rows with a NULL group find their range as well.
         key = F.struct(*[F.col(c) for c in by])
         facts = df.groupBy(key.alias("range_key")).agg(F.struct(*ranges).alias("ranges"))
-        df_ranged = df.withColumn("range_key", key).join(facts, "range_key")
-        limits = F.col("ranges")
+        ranged = df.withColumn("range_key", key).join(facts, "range_key")
     else:
-        df_ranged = df
-        limits = df.agg(F.struct(*ranges).alias("ranges")).scalar()
+        ranged = df.withColumn("ranges", df.agg(F.struct(*ranges)).scalar())
 
     def scaled(new: str) -> Column:
-        low, high = limits[new]["low"], limits[new]["high"]
+        low, high = F.col(f"ranges.{new}.low"), F.col(f"ranges.{new}.high")
         flat = low.isNull() | (low == high)
         return F.when(flat, F.lit(0.0)).otherwise((source[new] - low) / (high - low))
 
-    return df_ranged.select(*df.columns, *[scaled(new).alias(new) for new in columns])
+    return ranged.select(*df.columns, *[scaled(new).alias(new) for new in columns])
 
 
 def composite_index(

@@ -105,11 +105,10 @@ def top_share(df: DataFrame, value: str, fractions: Sequence[float]) -> DataFram
 
     ``n`` counts all rows, also those without a value.
     """
-    n = df.agg(F.count(F.lit(1))).scalar()
-    ranks = value_ranks(df, [], value)
+    ranks = value_ranks(df, [], value).withColumn("all_rows", df.agg(F.count(F.lit(1))).scalar())
     columns = []
     for p in fractions:
-        k = F.greatest(F.lit(1), F.ceil(n * F.lit(p)))
+        k = F.greatest(F.lit(1), F.ceil(F.col("all_rows") * F.lit(p)))
         columns.append(F.try_divide(_top_mass(k), _mass()).alias(f"top{round(p * 100)}"))
     return ranks.agg(*columns)
 

@@ -33,15 +33,15 @@ def growth_decomposition(panel: DataFrame) -> DataFrame:
     rows = positive_growth(panel)
     totals = rows.agg(F.struct(
         F.sum("delta_pos").alias("growth"), F.sum("value_current").alias("stock"),
-    ).alias("totals")).scalar()
-    return rows.withColumns({
+    ))
+    return rows.withColumn("totals", totals.scalar()).withColumns({
         "growth_rate": F.col("delta_frac"),
-        "contrib_growth": F.try_divide(F.col("delta_pos"), totals["growth"]),
-        "contrib_stock": F.try_divide(F.col("value_current"), totals["stock"]),
+        "contrib_growth": F.try_divide("delta_pos", "totals.growth"),
+        "contrib_stock": F.try_divide("value_current", "totals.stock"),
     }).withColumns({
         "growth_category": growth_category(F.col("growth_rate")),
         "contrib_category": contribution_category(F.col("contrib_growth")),
-    })
+    }).drop("totals")
 
 
 def top_contributors(decomposition: DataFrame) -> DataFrame:
@@ -59,9 +59,8 @@ def growth_metrics(panel: DataFrame, fractions: Sequence[float] = (0.20, 0.50))
     )
     inequality = gini(rows, [], "delta_pos").select("gini").scalar()
     pareto = top_share(rows, "delta_pos", fractions)
-    tops = pareto.select(F.struct(*pareto.columns).alias("s")).scalar()
-    return sums.select(
+    return sums.withColumn("tops", pareto.select(F.struct(*pareto.columns)).scalar()).select(
         inequality.alias("gini_growth_pos"),
-        *[tops[c].alias(f"pareto_{c}_pos") for c in pareto.columns],
+        *[F.col(f"tops.{c}").alias(f"pareto_{c}_pos") for c in pareto.columns],
         "total_growth_pos", "total_growth_net", "n_indicators",
     )

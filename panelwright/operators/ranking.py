@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwright.functions import clip_nonneg, finite_or_null
 
 FINE_PER_DOUBLING = 65536
-FINE_PER_COARSE = 1024
-# A value that holds at least 1/2048 of all rows is handled by broadcast: at most 2048 rows.
+FINE_BITS = 10  # 1024 fine cells in a coarse one
+ZERO_CELL = -(2**40)
+# A value that holds at least 1/2048 of all rows, so at most 2048 values, is spread by salts.
 HEAVY_VALUES = 2048
-SALTS = 1024
+SALTS = 256
 
-_ABOVE = ("rows", "mass", "values")
+_COUNTED = ("rows", "mass", "values")
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -43,9 +44,33 @@ def measure(value: str) -> Column:
     return clip_nonneg(finite_or_null(value))
 
 
-def _above(order: Sequence[Column], *within: str) -> dict[str, Column]:
-    before = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return {f"above_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in _ABOVE}
+def value_histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """One row per (group, distinct value) with its number of rows and its cells.
+
+    Every column is declared not NULL. Joins on them then add no null filters, which would
+    differ from branch to branch and keep Spark from sharing this aggregation's shuffle.
+    """
+    x = measure(value)
+    return (
+        df.filter(x.isNotNull())
+        .select(group_key(by).alias("grp"), F.coalesce(x, F.lit(0.0)).alias("x"))
+        .groupBy("grp", "x")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("fine", F.coalesce(F.floor(F.log2("x") * FINE_PER_DOUBLING), F.lit(ZERO_CELL)))
+        .withColumn("coarse", F.shiftright("fine", FINE_BITS))
+        .withColumns({"mass": F.col("rows") * F.col("x"), "values": F.lit(1).cast("bigint")})
+    )
+
+
+def _above(order: str, *within: str) -> dict[str, Column]:
+    before = (
+        Window.partitionBy(*within).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return {f"above_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in _COUNTED}
+
+
+def _added(left: str, right: str) -> list[Column]:
+    return [(F.col(f"{left}.above_{c}") + F.col(f"{right}.above_{c}")).alias(f"above_{c}") for c in _COUNTED]
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -56,68 +81,55 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     ``group_rows`` / ``group_mass`` of the whole group. NULL and non-finite values do not
     take part; negative ones count as zero.
     """
-    x = F.col("x")
-    histogram = (
-        df.select(group_key(by).alias("grp"), measure(value).alias("x"))
-        .filter(x.isNotNull())
-        .groupBy("grp", "x")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("fine", F.when(x > 0, F.floor(F.log2(x) * FINE_PER_DOUBLING)).otherwise(F.lit(-(2**40))))
-        .withColumns({
-            "coarse": F.floor(F.col("fine") / FINE_PER_COARSE),
-            "mass": F.col("rows") * x,
-            "values": F.lit(1).cast("bigint"),
-        })
-    )
-    sums = [F.sum(c).alias(c) for c in _ABOVE]
-    fine = histogram.groupBy("grp", "coarse", "fine").agg(*sums)
-    fine_above = fine.withColumns(_above([F.col("fine").desc()], "grp", "coarse"))
+    return _ranks(value_histogram(df, by, value))
+
 
+def _ranks(histogram: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in _COUNTED]
     whole = Window.partitionBy("grp")
-    coarse_above = (
-        fine.groupBy("grp", "coarse").agg(*sums)
-        .withColumns(_above([F.col("coarse").desc()], "grp"))
+    coarse = (
+        histogram.groupBy("grp", "coarse").agg(*sums)
+        .withColumns(_above("coarse", "grp"))
         .withColumns({"group_rows": F.sum("rows").over(whole), "group_mass": F.sum("mass").over(whole)})
     )
-    added = {f"above_{c}": F.col(f"f.above_{c}") + F.col(f"c.above_{c}") for c in _ABOVE}
-    offsets = (
-        fine_above.alias("f")
-        .join(coarse_above.alias("c"), ["grp", "coarse"])
-        .select("grp", "fine", "c.group_rows", "c.group_mass", *[v.alias(k) for k, v in added.items()])
+    fine = histogram.groupBy("grp", "coarse", "fine").agg(*sums).withColumns(_above("fine", "grp", "coarse"))
+    starts = (
+        fine.alias("f").join(coarse.alias("c"), ["grp", "coarse"])
+        .select("grp", "fine", "c.group_rows", "c.group_mass", *_added("f", "c"))
     )
-    local = histogram.withColumns(_above([x.desc()], "grp", "fine"))
-    added = {f"above_{c}": F.col(f"h.above_{c}") + F.col(f"o.above_{c}") for c in _ABOVE}
+    local = histogram.withColumns(_above("x", "grp", "fine"))
     return (
-        local.alias("h")
-        .join(offsets.alias("o"), ["grp", "fine"])
-        .select("grp", "x", "rows", "group_rows", "group_mass", *[v.alias(k) for k, v in added.items()])
+        local.alias("h").join(starts.alias("s"), ["grp", "fine"])
+        .select("grp", "x", "rows", "group_rows", "group_mass", *_added("h", "s"))
     )
 
 
 def attach_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Put the ranks of its value on every row, as the struct ``ranks``.
 
-    Joining on (group, value) would send all rows of a frequent value to one task. Values
-    that hold at least 1/2048 of the rows, at most 2048 of them, are broadcast instead; their
-    rows, and rows without a value, are spread by a salt that no other row carries.
+    Joining on (group, value) alone would send all rows of a frequent value to one task. The
+    rows of a value that holds at least 1/2048 of all rows are spread over 256 salts, and its
+    ranks repeated for each salt. There are at most 2048 such values, so both the broadcast
+    that marks them and the repetition are bounded. Rows without a value are spread too.
     """
-    facts = value_ranks(df, by, value)
-    facts = facts.select(
-        F.struct("grp", "x").alias("key"), "rows", F.struct(*facts.columns).alias("ranks")
-    )
-    total = facts.agg(F.sum("rows")).scalar()
-    heavy = facts.filter(F.col("rows") * HEAVY_VALUES >= total).select("key", F.col("ranks").alias("heavy"))
-    light = facts.select("key", F.lit(0).cast("bigint").alias("salt"), F.col("ranks").alias("light"))
-
-    keyed = df.withColumns({"key": F.struct(group_key(by).alias("grp"), measure(value).alias("x"))})
-    spread = 1 + F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-    alone = F.col("heavy").isNotNull() | F.col("key.x").isNull()
-    salted = keyed.join(F.broadcast(heavy), "key", "left").withColumn(
-        "salt", F.when(alone, spread).otherwise(F.lit(0))
-    )
-    return salted.join(light, ["key", "salt"], "left").select(
-        *[F.col(c) for c in df.columns], F.coalesce("heavy", "light").alias("ranks")
+    histogram = value_histogram(df, by, value)
+    total = histogram.agg(F.sum("rows")).scalar()
+    is_heavy = F.col("rows") * HEAVY_VALUES >= total
+    key = F.struct("grp", "x")
+    heavy = histogram.filter(is_heavy).select(key.alias("key"), F.lit(True).alias("heavy"))
+
+    x = measure(value)
+    keyed = df.withColumns({"key": F.struct(group_key(by).alias("grp"), F.coalesce(x, F.lit(-1.0)).alias("x"))})
+    spread = F.col("heavy").isNotNull() | (F.col("key.x") < 0)
+    salt = F.when(spread, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salted = keyed.join(F.broadcast(heavy), "key", "left").withColumn("salt", salt)
+
+    ranks = _ranks(histogram)
+    salts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    facts = ranks.select(
+        key.alias("key"), F.explode(salts).alias("salt"), F.struct(*ranks.columns).alias("ranks")
     )
+    return salted.join(facts, ["key", "salt"], "left").select(*df.columns, "ranks")
 
 
 def tie_positions(df: DataFrame, by: Sequence[str], value: str, keys: Sequence[str]) -> DataFrame:

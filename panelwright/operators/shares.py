@@ -80,12 +80,13 @@ def top_by_market(measures: DataFrame, keys: Sequence[str], markets: Sequence[st
     is itself a top row, so dense ranks among the ``k`` kept rows are the ranks in the whole
     market and no full ranking is needed.
     """
-    totals = measures.agg(F.struct(*[F.sum(clip_nonneg(m)).alias(m) for m in markets]).alias("t")).scalar()
+    totals = measures.agg(F.struct(*[F.sum(clip_nonneg(m)).alias(m) for m in markets]))
     cells = [
-        F.struct(F.lit(m).alias("market"), clip_nonneg(m).alias("capacity"), totals[m].alias("total_market"))
+        F.struct(F.lit(m).alias("market"), clip_nonneg(m).alias("capacity"),
+                 F.col(f"totals.{m}").alias("total_market"))
         for m in markets
     ]
-    rows = measures.select(*keys, F.inline(F.array(*cells)))
+    rows = measures.withColumn("totals", totals.scalar()).select(*keys, F.inline(F.array(*cells)))
     order = [F.col("capacity").desc_nulls_last(), *[F.col(c) for c in keys]]
     top = top_k_per_group(rows, ["market"], order, k)
     rank = F.dense_rank().over(Window.partitionBy("market").orderBy(F.col("capacity").desc_nulls_last()))
@@ -125,13 +126,10 @@ def rank_mobility(
     A change of exactly -2, or an actor without a rank in one period, is a significant decline.
     """
     wide = _compare(shares, keys, period, base, current, "rank")
-    seen = shares.agg(F.struct(
-        F.coalesce(F.bool_or(F.col(period) == base), F.lit(False)).alias("base"),
-        F.coalesce(F.bool_or(F.col(period) == current), F.lit(False)).alias("current"),
-    ).alias("seen")).scalar()
+    both_seen = shares.agg(F.bool_or(F.col(period) == base) & F.bool_or(F.col(period) == current)).scalar()
     change = F.col("rank_base") - F.col("rank_current")
     return (
-        wide.filter(seen["base"] & seen["current"])
+        wide.filter(both_seen)
         .withColumn("rank_change", change)
         .withColumn("mobility", band(F.col("rank_change"), presets.MOBILITY_BANDS, presets.MOBILITY_REST))
     )
