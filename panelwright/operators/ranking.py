@@ -1,19 +1,22 @@
 """Exact ranks and running totals inside groups of any size.
 
 A window over a group puts the whole group into one task, and the groups here are few and
-huge (three markets, millions of entities each). The ranks are therefore built in three
-levels from a histogram of the values:
+huge (three markets, millions of entities each). The ranks are therefore built in levels
+from a histogram of the values:
 
 * *histogram*: one row per (group, value) with its count. Repeated values, zeros above
   all, collapse map-side.
-* *fine cells*: values whose binary logarithm agrees to 1/65536. The cell is a function of
-  the value alone and never decreases with it, so cells are in value order.
-* *coarse cells*: 1024 fine cells each, 64 per doubling of the value.
+* *cells*: a value's binary logarithm in steps of 2^-28. The cell is a function of the value
+  alone and never decreases with it, so cells are in value order.
+* *fine cells* are 2^12 cells each (65536 per doubling of the value), *coarse cells* 2^10 fine
+  cells (64 per doubling).
 
 Running totals are taken over the coarse cells of a group, over the fine cells of a coarse
-cell (1024 rows at most) and over the values of a fine cell, and added up. Each window sees
-a bounded slice of the group, nothing is sampled, no job runs early, and a lost task can be
-recomputed on its own because no level depends on how rows were partitioned.
+cell, and over the values of a fine cell, and added up. Should values crowd together so that a
+fine cell holds 1/4096 of all distinct values, that cell (there are at most 4096) is taken
+apart into its 2^12 cells, none of which can hold more than some 2^24 different doubles. So each
+window sees a bounded part of its group. Nothing is sampled, no job runs early, and a lost
+task can be recomputed on its own because no level depends on how rows were partitioned.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions import clip_nonneg, finite_or_null
 
-FINE_PER_DOUBLING = 65536
-FINE_BITS = 10  # 1024 fine cells in a coarse one
+CELLS_PER_DOUBLING = 2**28
+FINE_BITS, COARSE_BITS = 12, 22
 ZERO_CELL = -(2**40)
+# Fine cells with this many values and 1/4096 of all of them are taken apart.
+CROWDED_VALUES, CROWDED_CELLS = 2**16, 4096
 # A value that holds at least 1/2048 of all rows, so at most 2048 values, is spread by salts.
 HEAVY_VALUES = 2048
 SALTS = 256
@@ -56,12 +61,25 @@ def value_histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         .select(group_key(by).alias("grp"), F.coalesce(x, F.lit(0.0)).alias("x"))
         .groupBy("grp", "x")
         .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("fine", F.coalesce(F.floor(F.log2("x") * FINE_PER_DOUBLING), F.lit(ZERO_CELL)))
-        .withColumn("coarse", F.shiftright("fine", FINE_BITS))
+        .withColumn("cell", F.coalesce(F.floor(F.log2("x") * CELLS_PER_DOUBLING), F.lit(ZERO_CELL)))
+        .withColumns({"fine": F.shiftright("cell", FINE_BITS), "coarse": F.shiftright("cell", COARSE_BITS)})
         .withColumns({"mass": F.col("rows") * F.col("x"), "values": F.lit(1).cast("bigint")})
     )
 
 
+def _slotted(histogram: DataFrame) -> DataFrame:
+    """Add the slot: the fine cell, or the cell itself where the fine cell is crowded."""
+    total = histogram.agg(F.count(F.lit(1))).scalar()
+    size = F.col("size")
+    crowded = (
+        histogram.groupBy("grp", "fine").agg(F.count(F.lit(1)).alias("size"))
+        .filter((size >= CROWDED_VALUES) & (size * CROWDED_CELLS >= total))
+        .select("grp", "fine", F.lit(True).alias("crowded"))
+    )
+    slot = F.when(F.col("crowded").isNotNull(), F.col("cell")).otherwise(F.shiftleft("fine", FINE_BITS))
+    return histogram.join(F.broadcast(crowded), ["grp", "fine"], "left").withColumn("slot", slot)
+
+
 def _above(order: str, *within: str) -> dict[str, Column]:
     before = (
         Window.partitionBy(*within).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -92,15 +110,16 @@ def _ranks(histogram: DataFrame) -> DataFrame:
         .withColumns(_above("coarse", "grp"))
         .withColumns({"group_rows": F.sum("rows").over(whole), "group_mass": F.sum("mass").over(whole)})
     )
-    fine = histogram.groupBy("grp", "coarse", "fine").agg(*sums).withColumns(_above("fine", "grp", "coarse"))
+    values = _slotted(histogram)
+    slots = values.groupBy("grp", "coarse", "slot").agg(*sums).withColumns(_above("slot", "grp", "coarse"))
     starts = (
-        fine.alias("f").join(coarse.alias("c"), ["grp", "coarse"])
-        .select("grp", "fine", "c.group_rows", "c.group_mass", *_added("f", "c"))
+        slots.alias("s").join(coarse.alias("c"), ["grp", "coarse"])
+        .select("grp", "slot", "c.group_rows", "c.group_mass", *_added("s", "c"))
     )
-    local = histogram.withColumns(_above("x", "grp", "fine"))
+    local = values.withColumns(_above("x", "grp", "slot"))
     return (
-        local.alias("h").join(starts.alias("s"), ["grp", "fine"])
-        .select("grp", "x", "rows", "group_rows", "group_mass", *_added("h", "s"))
+        local.alias("v").join(starts.alias("s"), ["grp", "slot"])
+        .select("grp", "x", "rows", "group_rows", "group_mass", *_added("v", "s"))
     )
 
 

@@ -43,21 +43,26 @@ def read_with_quarantine(
 ) -> tuple[DataFrame, DataFrame]:
     """Split a CSV into well-formed rows and the text of malformed lines.
 
-    A line is malformed when it has too few or too many fields or a field that does
-    not parse. Both results keep every row: nothing is dropped.
+    A line is malformed when it has too few or too many fields or a field that does not
+    parse. Lines are read whole and parsed by an expression, so both results can be used
+    freely; reading the corrupt-record column of a CSV scan alone is refused by Spark.
     """
-    marked = T.StructType([*schema.fields, T.StructField("corrupt_line", T.StringType())])
-    rows = (
-        _csv(spark, header)
-        .schema(marked)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "corrupt_line")
-        .option("columnPruning", False)
-        .option("nullValue", "NA")
+    lines = (
+        spark.read.schema("line string")
+        .option("header", header)
+        .option("sep", "\u0001")
+        .option("quote", "")
         .csv(path)
     )
-    good = rows.filter(F.col("corrupt_line").isNull()).drop("corrupt_line")
-    bad = rows.filter(F.col("corrupt_line").isNotNull()).select("corrupt_line")
+    marked = T.StructType([*schema.fields, T.StructField("corrupt_line", T.StringType())])
+    options = {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_line",
+        "nullValue": "NA", "quote": '"', "escape": '"',
+    }
+    parsed = lines.select("line", F.from_csv("line", marked.toDDL(), options).alias("row"))
+    malformed = F.col("row.corrupt_line").isNotNull()
+    good = parsed.filter(~malformed).select(*[F.col(f"row.{name}").alias(name) for name in schema.fieldNames()])
+    bad = parsed.filter(malformed).select(F.col("line").alias("corrupt_line"))
     return good, bad
 
 
