@@ -55,7 +55,8 @@ def _palma() -> Column:
 
 
 def _hhi() -> Column:
-    return F.when(_mass() > 0, F.sum(F.col("rows") * F.col("x") * F.col("x")) / (_mass() * _mass()) * 10000)
+    part = F.try_divide("x", "group_mass")
+    return F.when(_mass() > 0, F.sum(F.col("rows") * part * part) * 10000)
 
 
 def _cr(k: int, ties: str, empty: float | None) -> Column:
