@@ -67,19 +67,6 @@ def value_histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def _slotted(histogram: DataFrame) -> DataFrame:
-    """Add the slot: the fine cell, or the cell itself where the fine cell is crowded."""
-    total = histogram.agg(F.count(F.lit(1))).scalar()
-    size = F.col("size")
-    crowded = (
-        histogram.groupBy("grp", "fine").agg(F.count(F.lit(1)).alias("size"))
-        .filter((size >= CROWDED_VALUES) & (size * CROWDED_CELLS >= total))
-        .select("grp", "fine", F.lit(True).alias("crowded"))
-    )
-    slot = F.when(F.col("crowded").isNotNull(), F.col("cell")).otherwise(F.shiftleft("fine", FINE_BITS))
-    return histogram.join(F.broadcast(crowded), ["grp", "fine"], "left").withColumn("slot", slot)
-
-
 def _above(order: str, *within: str) -> dict[str, Column]:
     before = (
         Window.partitionBy(*within).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -104,21 +91,35 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def _ranks(histogram: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in _COUNTED]
+    # Always true; it makes every user of the cells need all sums, so that their shuffle,
+    # like that of the histogram, is the same everywhere and runs once.
+    cells = histogram.groupBy("grp", "coarse", "fine").agg(*sums).filter(
+        (F.col("rows") > 0) & (F.col("mass") >= 0) & (F.col("values") > 0)
+    )
     whole = Window.partitionBy("grp")
     coarse = (
-        histogram.groupBy("grp", "coarse").agg(*sums)
+        cells.groupBy("grp", "coarse").agg(*sums)
         .withColumns(_above("coarse", "grp"))
         .withColumns({"group_rows": F.sum("rows").over(whole), "group_mass": F.sum("mass").over(whole)})
     )
-    values = _slotted(histogram)
-    slots = values.groupBy("grp", "coarse", "slot").agg(*sums).withColumns(_above("slot", "grp", "coarse"))
+    all_values = cells.agg(F.sum("values")).scalar()
+    is_crowded = (F.col("values") >= CROWDED_VALUES) & (F.col("values") * CROWDED_CELLS >= all_values)
+    crowded = F.broadcast(cells.filter(is_crowded).select("grp", "fine", F.lit(True).alias("crowded")))
+
+    fine_slot = F.shiftleft("fine", FINE_BITS)
+    uncrowded = cells.join(crowded, ["grp", "fine"], "left_anti")
+    apart = histogram.join(crowded, ["grp", "fine"]).groupBy("grp", "coarse", F.col("cell").alias("slot")).agg(*sums)
+    slots = uncrowded.select("grp", "coarse", fine_slot.alias("slot"), *_COUNTED).unionByName(apart)
     starts = (
-        slots.alias("s").join(coarse.alias("c"), ["grp", "coarse"])
+        slots.withColumns(_above("slot", "grp", "coarse")).alias("s")
+        .join(coarse.alias("c"), ["grp", "coarse"])
         .select("grp", "slot", "c.group_rows", "c.group_mass", *_added("s", "c"))
     )
-    local = values.withColumns(_above("x", "grp", "slot"))
+    slot = F.when(F.col("crowded").isNotNull(), F.col("cell")).otherwise(fine_slot)
+    values = histogram.join(crowded, ["grp", "fine"], "left").withColumn("slot", slot)
     return (
-        local.alias("v").join(starts.alias("s"), ["grp", "slot"])
+        values.withColumns(_above("x", "grp", "slot")).alias("v")
+        .join(starts.alias("s"), ["grp", "slot"])
         .select("grp", "x", "rows", "group_rows", "group_mass", *_added("v", "s"))
     )
 

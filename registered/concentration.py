@@ -171,17 +171,17 @@ def effective(spark, sf_dir):
 
 
 @query("con08_cr_dense", sql("customer_sorted", f"""
-SELECT market, round({dense(3)}, 9) AS cr3, round({dense(5)}, 9) AS cr5 FROM customer_sorted GROUP BY 1"""))
+SELECT market, round({dense(3)}, 6) AS cr3, round({dense(5)}, 6) AS cr5 FROM customer_sorted GROUP BY 1"""))
 def cr_dense(spark, sf_dir):
-    return rounded(con.concentration_ratios(customer_markets(spark, sf_dir), ["market"], "capacity"))
+    return rounded(con.concentration_ratios(customer_markets(spark, sf_dir), ["market"], "capacity"), 6)
 
 
 @query("con08b_cr_row", sql("supplier_sorted", f"""
-SELECT period, market, round({exact(3)}, 9) AS cr3, round({exact(5)}, 9) AS cr5 FROM supplier_sorted GROUP BY 1, 2"""))
+SELECT period, market, round({exact(3)}, 6) AS cr3, round({exact(5)}, 6) AS cr5 FROM supplier_sorted GROUP BY 1, 2"""))
 def cr_row(spark, sf_dir):
     return rounded(con.concentration_ratios(
         supplier_markets(spark, sf_dir), ["period", "market"], "capacity", ties="row"
-    ))
+    ), 6)
 
 
 @query("con08c_cumulative_share", sql("supplier_markets", """

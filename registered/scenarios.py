@@ -98,12 +98,12 @@ SELECT category, indicator, scenario_id, scenario_name,
        min(CASE WHEN capacity >= 60000000 THEN year END) AS crosses_crisis,
        min(CASE WHEN capacity >= 40000000 THEN year END) AS crosses_high_risk,
        min(CASE WHEN capacity >= 20000000 THEN year END) AS crosses_medium_risk,
-       round((max_by(capacity, year) / max(base_value) - 1) * 100, 9) AS total_growth_pct,
-       round(avg(effective_rate) * 100, 9) AS avg_annual_growth,
+       round((max_by(capacity, year) / max(base_value) - 1) * 100, 6) AS total_growth_pct,
+       round(avg(effective_rate) * 100, 6) AS avg_annual_growth,
        CAST(max_by(capacity, year) AS DOUBLE) AS final_capacity
 FROM projected GROUP BY 1, 2, 3, 4"""))
 def crossings(spark, sf_dir):
-    return rounded(scenarios.threshold_crossings(projection(spark, sf_dir), KEYS, THRESHOLDS))
+    return rounded(scenarios.threshold_crossings(projection(spark, sf_dir), KEYS, THRESHOLDS), 6)
 
 
 @query("scn06_compare_to_baseline", sql("projected", f"""
@@ -112,9 +112,9 @@ WITH f AS (SELECT category, indicator, scenario_name, capacity,
      FROM projected WHERE year = {LAST})
 SELECT category, indicator, scenario_name, CAST(capacity AS DOUBLE) AS final_capacity,
        CAST(capacity - reference AS DOUBLE) AS diff_vs_baseline,
-       round((capacity / nullif(reference, 0) - 1) * 100, 9) AS pct_vs_baseline FROM f"""))
+       round((capacity / nullif(reference, 0) - 1) * 100, 6) AS pct_vs_baseline FROM f"""))
 def baseline(spark, sf_dir):
-    return rounded(scenarios.compare_to_baseline(projection(spark, sf_dir), KEYS))
+    return rounded(scenarios.compare_to_baseline(projection(spark, sf_dir), KEYS), 6)
 
 
 @query("scn07_rate_sensitivity", sql("customer_panel", f"""
