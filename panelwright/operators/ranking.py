@@ -13,10 +13,10 @@ from a histogram of the values:
 
 Running totals are taken over the coarse cells of a group, over the fine cells of a coarse
 cell, and over the values of a fine cell, and added up. Should values crowd together so that a
-fine cell holds 1/4096 of all distinct values, that cell (there are at most 4096) is taken
-apart into its 2^12 cells, none of which can hold more than some 2^24 different doubles. So each
-window sees a bounded part of its group. Nothing is sampled, no job runs early, and a lost
-task can be recomputed on its own because no level depends on how rows were partitioned.
+fine cell holds a million of them, that cell is taken apart into its 2^12 cells, none of which
+can hold more than some 2^24 different doubles. So each window sees a bounded part of its
+group. Nothing is sampled, no job runs early, and a lost task can be recomputed on its own
+because no level depends on how rows were partitioned.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ from panelwright.functions import clip_nonneg, finite_or_null
 CELLS_PER_DOUBLING = 2**28
 FINE_BITS, COARSE_BITS = 12, 22
 ZERO_CELL = -(2**40)
-# Fine cells with this many values and 1/4096 of all of them are taken apart.
-CROWDED_VALUES, CROWDED_CELLS = 2**16, 4096
-# A value that holds at least 1/2048 of all rows, so at most 2048 values, is spread by salts.
-HEAVY_VALUES = 2048
-SALTS = 256
+# Fine cells with this many values are taken apart. n values have at most n / 2^20 of them.
+CROWDED_VALUES = 2**20
+# A value with this many rows is joined in parts. n rows have at most n / 2^20 such values,
+# with n / 2^18 parts between them.
+HEAVY_ROWS, PART_ROWS = 2**20, 2**18
+MAX_PARTS = 2**16
 
 _COUNTED = ("rows", "mass", "values")
 
@@ -102,9 +103,9 @@ def _ranks(histogram: DataFrame) -> DataFrame:
         .withColumns(_above("coarse", "grp"))
         .withColumns({"group_rows": F.sum("rows").over(whole), "group_mass": F.sum("mass").over(whole)})
     )
-    all_values = cells.agg(F.sum("values")).scalar()
-    is_crowded = (F.col("values") >= CROWDED_VALUES) & (F.col("values") * CROWDED_CELLS >= all_values)
-    crowded = F.broadcast(cells.filter(is_crowded).select("grp", "fine", F.lit(True).alias("crowded")))
+    crowded = F.broadcast(
+        cells.filter(F.col("values") >= CROWDED_VALUES).select("grp", "fine", F.lit(True).alias("crowded"))
+    )
 
     fine_slot = F.shiftleft("fine", FINE_BITS)
     uncrowded = cells.join(crowded, ["grp", "fine"], "left_anti")
@@ -128,28 +129,27 @@ def attach_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Put the ranks of its value on every row, as the struct ``ranks``.
 
     Joining on (group, value) alone would send all rows of a frequent value to one task. The
-    rows of a value that holds at least 1/2048 of all rows are spread over 256 salts, and its
-    ranks repeated for each salt. There are at most 2048 such values, so both the broadcast
-    that marks them and the repetition are bounded. Rows without a value are spread too.
+    rows of a value with 2^20 rows or more are therefore spread over parts of about 2^18 rows,
+    and its ranks repeated for each part; how many parts a value has is broadcast, for the
+    frequent values only. Rows without a value are spread as well.
     """
     histogram = value_histogram(df, by, value)
-    total = histogram.agg(F.sum("rows")).scalar()
-    is_heavy = F.col("rows") * HEAVY_VALUES >= total
     key = F.struct("grp", "x")
-    heavy = histogram.filter(is_heavy).select(key.alias("key"), F.lit(True).alias("heavy"))
+    parts = F.least(F.ceil(F.col("rows") / PART_ROWS), F.lit(MAX_PARTS)).cast("int")
+    heavy = histogram.filter(F.col("rows") >= HEAVY_ROWS).select(key.alias("key"), parts.alias("parts"))
 
     x = measure(value)
     keyed = df.withColumns({"key": F.struct(group_key(by).alias("grp"), F.coalesce(x, F.lit(-1.0)).alias("x"))})
-    spread = F.col("heavy").isNotNull() | (F.col("key.x") < 0)
-    salt = F.when(spread, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    salted = keyed.join(F.broadcast(heavy), "key", "left").withColumn("salt", salt)
+    many = F.when(F.col("key.x") < 0, F.lit(MAX_PARTS)).otherwise(F.coalesce("parts", F.lit(1)))
+    part = F.when(many > 1, F.pmod(F.xxhash64(*df.columns), many).cast("int")).otherwise(F.lit(0))
+    spread = keyed.join(F.broadcast(heavy), "key", "left").withColumn("part", part)
 
     ranks = _ranks(histogram)
-    salts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    numbered = F.when(F.col("rows") >= HEAVY_ROWS, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
     facts = ranks.select(
-        key.alias("key"), F.explode(salts).alias("salt"), F.struct(*ranks.columns).alias("ranks")
+        key.alias("key"), F.explode(numbered).alias("part"), F.struct(*ranks.columns).alias("ranks")
     )
-    return salted.join(facts, ["key", "salt"], "left").select(*df.columns, "ranks")
+    return spread.join(facts, ["key", "part"], "left").select(*df.columns, "ranks")
 
 
 def tie_positions(df: DataFrame, by: Sequence[str], value: str, keys: Sequence[str]) -> DataFrame:

@@ -85,10 +85,11 @@ def test_invariants(spark, values):
     check_indices(spark, {"g": values}, 3)
 
 
-@pytest.mark.parametrize("heavy", [2048, 3])
-def test_ranks_of_rows(spark, monkeypatch, heavy):
-    """Also with so low a bound that frequent values go through the salted join."""
-    monkeypatch.setattr(ranking, "HEAVY_VALUES", heavy)
+@pytest.mark.parametrize("heavy, part", [(2**20, 2**18), (4, 3)])
+def test_ranks_of_rows(spark, monkeypatch, heavy, part):
+    """Also with so low a bound that frequent values are joined in parts."""
+    monkeypatch.setattr(ranking, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(ranking, "PART_ROWS", part)
     groups = skewed(random.Random(3))
     df = frame(spark, groups)
     dense = {r.k: r for r in shares.market_shares(df, ["g"], "x").collect()}
