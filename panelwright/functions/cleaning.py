@@ -34,9 +34,13 @@ def to_int(c: str | Column) -> Column:
     return to_number(c).try_cast("int")
 
 
+def is_finite(c: str | Column) -> Column:
+    """False for NaN, which Spark orders above infinity, and NULL for NULL."""
+    return F.abs(_col(c).cast("double")) < float("inf")
+
+
 def finite_or_null(c: str | Column) -> Column:
-    x = _col(c).cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return F.when(is_finite(c), _col(c).cast("double"))
 
 
 def clip_nonneg(c: str | Column) -> Column:

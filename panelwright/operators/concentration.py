@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright import presets
 from panelwright.functions import band
-from panelwright.operators.ranking import group_key, measure, value_ranks
+from panelwright.operators.ranking import Grouping, measure, value_ranks
 
 
-def _ungroup(by: Sequence[str]) -> list[Column]:
-    return [F.col(f"grp.{c}").alias(c) for c in by]
+def _per_group(df: DataFrame, by: Sequence[str], value: str, *indices: Column) -> DataFrame:
+    """The grouping columns and the given aggregates over each group's value ranks."""
+    groups = Grouping(df, by)
+    table = value_ranks(df, groups, value).groupBy(*groups.names).agg(*indices)
+    return table.select(*groups.restored, *[c for c in table.columns if c not in groups.names])
 
 
 def _taken(first: Column, last: Column) -> Column:
@@ -85,11 +88,12 @@ def effective_n(hhi_column: Column) -> Column:
 
 def gini(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Gini coefficient per group; zero when nothing is positive."""
-    return value_ranks(df, by, value).groupBy("grp").agg(_gini().alias("gini")).select(*_ungroup(by), "gini")
+    return _per_group(df, by, value, _gini().alias("gini"))
 
 
 def palma(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    return value_ranks(df, by, value).groupBy("grp").agg(_palma().alias("palma")).select(*_ungroup(by), "palma")
+    """Share of the top tenth over the share of the lower part, per group."""
+    return _per_group(df, by, value, _palma().alias("palma"))
 
 
 def concentration_ratios(
@@ -97,8 +101,7 @@ def concentration_ratios(
 ) -> DataFrame:
     """CR-k per group. ``dense``: all rows of the k largest values; ``row``: exactly k rows."""
     empty = 0.0 if ties == "dense" else None
-    ratios = [_cr(k, ties, empty).alias(f"cr{k}") for k in ks]
-    return value_ranks(df, by, value).groupBy("grp").agg(*ratios).select(*_ungroup(by), *[f"cr{k}" for k in ks])
+    return _per_group(df, by, value, *[_cr(k, ties, empty).alias(f"cr{k}") for k in ks])
 
 
 def top_share(df: DataFrame, value: str, fractions: Sequence[float]) -> DataFrame:
@@ -106,7 +109,7 @@ def top_share(df: DataFrame, value: str, fractions: Sequence[float]) -> DataFram
 
     ``n`` counts all rows, also those without a value.
     """
-    ranks = value_ranks(df, [], value).withColumn("all_rows", df.agg(F.count(F.lit(1))).scalar())
+    ranks = value_ranks(df, Grouping(df, []), value).withColumn("all_rows", df.agg(F.count(F.lit(1))).scalar())
     columns = []
     for p in fractions:
         k = F.greatest(F.lit(1), F.ceil(F.col("all_rows") * F.lit(p)))
@@ -129,7 +132,8 @@ def concentration_indices(
 ) -> DataFrame:
     """All indices of each group from one pass over its value ranks."""
     empty = 0.0 if ties == "dense" else None
-    indices = value_ranks(df, by, value).groupBy("grp").agg(
+    indices = _per_group(
+        df, by, value,
         _n().alias("n"),
         _mass().alias("total"),
         _hhi().alias("hhi"),
@@ -140,7 +144,7 @@ def concentration_indices(
     )
     level = F.col("hhi")
     return indices.select(
-        *_ungroup(by), "n", "total", "hhi", effective_n(level).alias("effective_n"),
+        *by, "n", "total", "hhi", effective_n(level).alias("effective_n"),
         "cr3", "cr5", "gini", "palma",
         hhi_category(level).alias("hhi_category"),
         hhi_implication(level, variant).alias("implication"),

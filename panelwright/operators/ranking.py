@@ -23,9 +23,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from panelwright.functions import clip_nonneg, finite_or_null
+from panelwright.functions import is_finite
 
 CELLS_PER_DOUBLING = 2**28
 FINE_BITS, COARSE_BITS = 12, 22
@@ -40,35 +40,63 @@ MAX_PARTS = 2**16
 _COUNTED = ("rows", "mass", "values")
 
 
-def group_key(by: Sequence[str]) -> Column:
-    """The grouping columns as one struct: compares NULL members as equal, also in joins."""
-    return F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+def measure(value: str) -> Column:
+    """The value as ranked: finite, not negative. ``greatest`` only meets values here, never NULL."""
+    return F.when(is_finite(value), F.greatest(F.col(value).cast("double"), F.lit(0.0)))
 
 
-def measure(value: str) -> Column:
-    """The value as ranked: finite, not negative."""
-    return clip_nonneg(finite_or_null(value))
+class Grouping:
+    """The grouping columns in a form that is never NULL, and the way back.
+
+    A NULL group is a group like any other. Joins on nullable columns would lose it, and a
+    null-safe join does not use the partitioning the windows leave behind, so each column
+    becomes a filled column and a flag.
+    """
+
+    def __init__(self, df: DataFrame, by: Sequence[str]):
+        self.columns: dict[str, Column] = {} if by else {"_g": F.lit(0)}
+        self.restored: list[Column] = []
+        for i, name in enumerate(by):
+            self.columns[f"_g{i}"] = F.coalesce(F.col(name), _filler(df.schema[name].dataType))
+            self.columns[f"_n{i}"] = F.col(name).isNull()
+            self.restored.append(F.when(~F.col(f"_n{i}"), F.col(f"_g{i}")).alias(name))
+        self.names = list(self.columns)
+
+    def selected(self) -> list[Column]:
+        return [c.alias(name) for name, c in self.columns.items()]
 
 
-def value_histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def _filler(kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    return F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)
+
+
+def value_histogram(df: DataFrame, groups: Grouping, value: str) -> DataFrame:
     """One row per (group, distinct value) with its number of rows and its cells.
 
     Every column is declared not NULL. Joins on them then add no null filters, which would
     differ from branch to branch and keep Spark from sharing this aggregation's shuffle.
     """
-    x = measure(value)
+    x = F.greatest(F.col(value).cast("double"), F.lit(0.0))
     return (
-        df.filter(x.isNotNull())
-        .select(group_key(by).alias("grp"), F.coalesce(x, F.lit(0.0)).alias("x"))
-        .groupBy("grp", "x")
+        df.filter(is_finite(value))
+        .select(*groups.selected(), F.coalesce(x, F.lit(0.0)).alias("x"))
+        .groupBy(*groups.names, "x")
         .agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("cell", F.coalesce(F.floor(F.log2("x") * CELLS_PER_DOUBLING), F.lit(ZERO_CELL)))
-        .withColumns({"fine": F.shiftright("cell", FINE_BITS), "coarse": F.shiftright("cell", COARSE_BITS)})
-        .withColumns({"mass": F.col("rows") * F.col("x"), "values": F.lit(1).cast("bigint")})
+        .withColumns({
+            "fine": F.shiftright("cell", FINE_BITS),
+            "coarse": F.shiftright("cell", COARSE_BITS),
+            "mass": F.col("rows") * F.col("x"),
+            "values": F.lit(1).cast("bigint"),
+        })
     )
 
 
-def _above(order: str, *within: str) -> dict[str, Column]:
+def _above(order: str, within: Sequence[str]) -> dict[str, Column]:
     before = (
         Window.partitionBy(*within).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -79,52 +107,58 @@ def _added(left: str, right: str) -> list[Column]:
     return [(F.col(f"{left}.above_{c}") + F.col(f"{right}.above_{c}")).alias(f"above_{c}") for c in _COUNTED]
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """One row per (group, distinct value), the group packed in the struct ``grp``.
+def value_ranks(df: DataFrame, groups: Grouping, value: str) -> DataFrame:
+    """One row per (group, distinct value), under the names of ``groups``.
 
     ``x`` the value, ``rows`` how often it occurs, ``above_rows`` / ``above_mass`` /
     ``above_values`` the rows, sum and distinct values greater than it in its group, and
     ``group_rows`` / ``group_mass`` of the whole group. NULL and non-finite values do not
     take part; negative ones count as zero.
     """
-    return _ranks(value_histogram(df, by, value))
+    return _ranks(value_histogram(df, groups, value), groups.names)
 
 
-def _ranks(histogram: DataFrame) -> DataFrame:
+def _ranks(histogram: DataFrame, grp: list[str]) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in _COUNTED]
     # Always true; it makes every user of the cells need all sums, so that their shuffle,
     # like that of the histogram, is the same everywhere and runs once.
-    cells = histogram.groupBy("grp", "coarse", "fine").agg(*sums).filter(
+    cells = histogram.groupBy(*grp, "coarse", "fine").agg(*sums).filter(
         (F.col("rows") > 0) & (F.col("mass") >= 0) & (F.col("values") > 0)
     )
-    whole = Window.partitionBy("grp")
+    whole = Window.partitionBy(*grp)
     coarse = (
-        cells.groupBy("grp", "coarse").agg(*sums)
-        .withColumns(_above("coarse", "grp"))
+        cells.groupBy(*grp, "coarse").agg(*sums)
+        .withColumns(_above("coarse", grp))
         .withColumns({"group_rows": F.sum("rows").over(whole), "group_mass": F.sum("mass").over(whole)})
     )
     crowded = F.broadcast(
-        cells.filter(F.col("values") >= CROWDED_VALUES).select("grp", "fine", F.lit(True).alias("crowded"))
+        cells.filter(F.col("values") >= CROWDED_VALUES).select(*grp, "fine", F.lit(True).alias("crowded"))
     )
-
+    in_cell = [*grp, "fine"]
     fine_slot = F.shiftleft("fine", FINE_BITS)
-    uncrowded = cells.join(crowded, ["grp", "fine"], "left_anti")
-    apart = histogram.join(crowded, ["grp", "fine"]).groupBy("grp", "coarse", F.col("cell").alias("slot")).agg(*sums)
-    slots = uncrowded.select("grp", "coarse", fine_slot.alias("slot"), *_COUNTED).unionByName(apart)
+    uncrowded = cells.join(crowded, in_cell, "left_anti")
+    apart = histogram.join(crowded, in_cell).groupBy(*grp, "coarse", F.col("cell").alias("slot")).agg(*sums)
+    slots = uncrowded.select(*grp, "coarse", fine_slot.alias("slot"), *_COUNTED).unionByName(apart)
     starts = (
-        slots.withColumns(_above("slot", "grp", "coarse")).alias("s")
-        .join(coarse.alias("c"), ["grp", "coarse"])
-        .select("grp", "slot", "c.group_rows", "c.group_mass", *_added("s", "c"))
+        slots.withColumns(_above("slot", [*grp, "coarse"])).alias("s")
+        .join(coarse.alias("c"), [*grp, "coarse"])
+        .select(*grp, "slot", "c.group_rows", "c.group_mass", *_added("s", "c"))
     )
     slot = F.when(F.col("crowded").isNotNull(), F.col("cell")).otherwise(fine_slot)
-    values = histogram.join(crowded, ["grp", "fine"], "left").withColumn("slot", slot)
+    values = histogram.join(crowded, in_cell, "left").withColumn("slot", slot)
     return (
-        values.withColumns(_above("x", "grp", "slot")).alias("v")
-        .join(starts.alias("s"), ["grp", "slot"])
-        .select("grp", "x", "rows", "group_rows", "group_mass", *_added("v", "s"))
+        values.withColumns(_above("x", [*grp, "slot"])).alias("v")
+        .join(starts.alias("s"), [*grp, "slot"])
+        .select(*grp, "x", "rows", "group_rows", "group_mass", *_added("v", "s"))
     )
 
 
+def _keyed(df: DataFrame, groups: Grouping, value: str) -> tuple[DataFrame, list[str]]:
+    """Rows with their group and value as join columns; -1 stands for no value."""
+    keyed = df.withColumns({**groups.columns, "_x": F.coalesce(measure(value), F.lit(-1.0))})
+    return keyed, [*groups.names, "_x"]
+
+
 def attach_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Put the ranks of its value on every row, as the struct ``ranks``.
 
@@ -133,23 +167,23 @@ def attach_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     and its ranks repeated for each part; how many parts a value has is broadcast, for the
     frequent values only. Rows without a value are spread as well.
     """
-    histogram = value_histogram(df, by, value)
-    key = F.struct("grp", "x")
+    groups = Grouping(df, by)
+    histogram = value_histogram(df, groups, value)
     parts = F.least(F.ceil(F.col("rows") / PART_ROWS), F.lit(MAX_PARTS)).cast("int")
-    heavy = histogram.filter(F.col("rows") >= HEAVY_ROWS).select(key.alias("key"), parts.alias("parts"))
+    is_heavy = F.col("rows") >= HEAVY_ROWS
+    same_value = [*groups.names, F.col("x").alias("_x")]
+    heavy = histogram.filter(is_heavy).select(*same_value, parts.alias("_parts"))
 
-    x = measure(value)
-    keyed = df.withColumns({"key": F.struct(group_key(by).alias("grp"), F.coalesce(x, F.lit(-1.0)).alias("x"))})
-    many = F.when(F.col("key.x") < 0, F.lit(MAX_PARTS)).otherwise(F.coalesce("parts", F.lit(1)))
+    keyed, key = _keyed(df, groups, value)
+    many = F.when(F.col("_x") < 0, F.lit(MAX_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
     part = F.when(many > 1, F.pmod(F.xxhash64(*df.columns), many).cast("int")).otherwise(F.lit(0))
-    spread = keyed.join(F.broadcast(heavy), "key", "left").withColumn("part", part)
+    spread = keyed.join(F.broadcast(heavy), key, "left").withColumn("_part", part)
 
-    ranks = _ranks(histogram)
-    numbered = F.when(F.col("rows") >= HEAVY_ROWS, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    facts = ranks.select(
-        key.alias("key"), F.explode(numbered).alias("part"), F.struct(*ranks.columns).alias("ranks")
-    )
-    return spread.join(facts, ["key", "part"], "left").select(*df.columns, "ranks")
+    ranks = _ranks(histogram, groups.names)
+    numbered = F.when(is_heavy, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    found = F.struct(*[c for c in ranks.columns if c not in groups.names])
+    facts = ranks.select(*same_value, F.explode(numbered).alias("_part"), found.alias("ranks"))
+    return spread.join(facts, [*key, "_part"], "left").select(*df.columns, "ranks")
 
 
 def tie_positions(df: DataFrame, by: Sequence[str], value: str, keys: Sequence[str]) -> DataFrame:
@@ -158,20 +192,17 @@ def tie_positions(df: DataFrame, by: Sequence[str], value: str, keys: Sequence[s
     Rows are numbered in the order of an MD5 of their keys. Its first three digits make 4096
     even slices, so the rows of one frequent value are numbered slice by slice.
     """
+    keyed, key = _keyed(df, Grouping(df, by), value)
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-    marked = df.withColumns({
-        "key": F.struct(group_key(by).alias("grp"), measure(value).alias("x")),
-        "digest": digest,
-        "slice": F.substring(digest, 1, 3),
-    })
-    slices = marked.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select("key", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("key", "slice").orderBy("digest", *keys)
+    marked = keyed.withColumn("_digest", digest).withColumn("_slice", F.substring("_digest", 1, 3))
+    slices = marked.groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select(*key, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*key, "_slice").orderBy("_digest", *keys)
     return (
-        marked.withColumn("local", F.row_number().over(inside))
-        .join(starts, ["key", "slice"])
-        .select(*df.columns, (F.col("start") + F.col("local")).alias("tie"))
+        marked.withColumn("_place", F.row_number().over(inside))
+        .join(starts, [*key, "_slice"])
+        .select(*df.columns, (F.col("_start") + F.col("_place")).alias("tie"))
     )
 
 
