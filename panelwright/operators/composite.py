@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright import presets
 from panelwright.functions import band, clip_nonneg, finite_or_null
 from panelwright.operators.concentration import gini, hhi
+from panelwright.sources import durable
 
 COMPONENTS = {
     "component_control": "score_control",
@@ -189,13 +192,17 @@ def top_dynamic(table: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame
     return ranked_index_table(rows, keys)
 
 
-def cluster_indicators(df: DataFrame, columns: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """K-means labels over the components, NULL taken as zero. Trains a model, so it runs jobs."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def cluster_indicators(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], k: int = 5, seed: int = 42
+) -> DataFrame:
+    """K-means labels 1..k over the components, NULL taken as zero.
 
-    filled = df.withColumns({f"{c}_filled": F.coalesce(F.col(c), F.lit(0.0)) for c in columns})
-    vectors = VectorAssembler(inputCols=[f"{c}_filled" for c in columns], outputCol="features").transform(filled)
+    Trains a model, so it runs jobs. The input is laid out by its keys and checkpointed, so that
+    every pass, also after a lost executor, sees the same rows in the same order.
+    """
+    filled = {f"{c}_filled": F.coalesce(F.col(c), F.lit(0.0)) for c in columns}
+    rows = durable(df.withColumns(filled).repartition(*keys).sortWithinPartitions(*keys))
+    vectors = VectorAssembler(inputCols=list(filled), outputCol="features").transform(rows)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
     return model.transform(vectors).select(*df.columns, (F.col("cluster") + 1).alias("cluster"))
 

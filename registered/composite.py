@@ -171,7 +171,7 @@ def legacy(spark, sf_dir):
 @query("idx15_cluster_indicators")
 def clusters(spark, sf_dir):
     table = index_table(spark, sf_dir).select("entity", "composite", *composite.COMPONENTS)
-    return rounded(composite.cluster_indicators(table, list(composite.COMPONENTS)))
+    return rounded(composite.cluster_indicators(table, ["entity"], list(composite.COMPONENTS)))
 
 
 MEANS = {"avg_index": "composite", "share_control": "is_control", "share_innov": "is_innov",

@@ -7,6 +7,7 @@ from panelwright.operators import metrics, panel as panels, quality
 from panelwright.presets import ACTOR_ALIASES
 from panelwright.sources import (
     LONG_SCHEMA,
+    clean_names,
     read_indicator_csv,
     read_with_quarantine,
     resolve_columns,
@@ -78,6 +79,13 @@ def quarantine(spark, sf_dir):
     )
 
 
+@query("src4_validate_schema", sql("supplier_panel", "SELECT actor, period, total FROM supplier_panel"))
+def validated(spark, sf_dir):
+    """The check reads the schema only; the rows pass through."""
+    required = ["actor", "period", "total"]
+    return validate_schema(supplier_panel(spark, sf_dir), required).select(*required)
+
+
 @query("snk1_write_table", sql("customer_long", """
 SELECT category, indicator, period, value, reported_pct FROM customer_long WHERE period >= 1998"""))
 def write_and_read(spark, sf_dir):
@@ -117,6 +125,28 @@ def long_metrics(spark, sf_dir):
     return metrics.metrics_long(wide)
 
 
+@query("cln01_clean_names", """
+SELECT o_orderkey AS order_key, o_totalprice AS total_price_percent, o_orderpriority AS ano, o_orderstatus AS ano_2
+FROM orders""")
+def cleaned_names(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    columns = ["o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"]
+    return clean_names(orders.select(*columns).toDF("orderKey", " Total price %", "Año", "año"))
+
+
+@query("cln03_resolve_regex", sql("supplier_panel", """
+SELECT actor, period, total, CAST(NULL AS VARCHAR) AS notes FROM supplier_panel"""))
+def resolve_regex(spark, sf_dir):
+    """Headers that contain the wanted words, and one target that nothing matches."""
+    raw = supplier_panel(spark, sf_dir).select(
+        F.col("actor").alias("grupo_x"), F.col("period").alias("vigencia_fiscal"),
+        F.col("total").alias("conteo_total"), "support",
+    )
+    patterns = {"actor": ["^gao$", "grupo"], "period": ["^year$", "vigencia"], "total": ["^total$", "conteo"],
+                "notes": ["nota"]}
+    return resolve_columns(raw, patterns, mode="regex", optional={"notes": "string"})
+
+
 @query("cln02_resolve_alias", sql("supplier_panel", """
 SELECT 'actor ' || CAST(actor AS VARCHAR) AS actor, period AS year, total FROM supplier_panel"""))
 def resolve_alias(spark, sf_dir):

@@ -215,7 +215,7 @@ def test_unpivot_is_inverse_of_pivot(spark, panel):
 def test_clusters_and_profiles(spark):
     rows = [(i, float(i % 3) * 10, None if i % 5 == 0 else 1.0) for i in range(60)]
     df = spark.createDataFrame(rows, "i int, a double, b double")
-    labelled = composite.cluster_indicators(df, ["a", "b"], k=3)
+    labelled = composite.cluster_indicators(df, ["i"], ["a", "b"], k=3)
     assert labelled.count() == 60 and {r.cluster for r in labelled.collect()} <= {1, 2, 3}
     profiles = composite.cluster_profiles(df.withColumn("cluster", F.col("i") % 2), {"avg_a": "a", "avg_b": "b"})
     assert {r.n_indicators for r in profiles.collect()} == {30}
