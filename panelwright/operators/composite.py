@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright import presets
 from panelwright.functions import band, clip_nonneg, finite_or_null
-from panelwright.operators.concentration import gini, hhi
+from panelwright.operators.concentration import concentration_indices
+from panelwright.operators.shares import unpivot_markets
 from panelwright.sources import durable
 
 COMPONENTS = {
@@ -218,17 +219,26 @@ def cluster_profiles(
 
 
 def index_metrics(panel: DataFrame) -> DataFrame:
-    """One row: counts and sums of growth, Gini and HHI of growth and of the current level."""
-    rows = panel.withColumn("growth", clip_nonneg(finite_or_null("delta_abs")))
-    ginis = [gini(rows, [], c).select("gini").scalar() for c in ("growth", "value_current")]
-    hhis = [hhi(rows, [], c).select("hhi").scalar() for c in ("growth", "value_current")]
+    """One row: counts and sums of growth, Gini and HHI of growth and of the current level.
+
+    Both measures are ranked in one pass, as two markets.
+    """
+    names = ("growth_pos", "stock_current")
+    rows = panel.select(
+        "delta_abs",
+        clip_nonneg(finite_or_null("delta_abs")).alias("growth_pos"),
+        F.col("value_current").alias("stock_current"),
+    )
+    indices = concentration_indices(unpivot_markets(rows, [], names), ["market"], "capacity")
+    each = [
+        F.max(F.when(F.col("market") == name, F.col(index))).alias(f"{index}_{name}")
+        for index in ("gini", "hhi") for name in names
+    ]
     return rows.agg(
         F.count(F.lit(1)).cast("double").alias("n_indicators"),
-        F.count_if(F.col("growth") > 0).cast("double").alias("n_positive_growth"),
-        F.coalesce(F.sum("growth"), F.lit(0.0)).alias("sum_pos"),
+        F.count_if(F.col("growth_pos") > 0).cast("double").alias("n_positive_growth"),
+        F.coalesce(F.sum("growth_pos"), F.lit(0.0)).alias("sum_pos"),
         F.coalesce(F.sum("delta_abs"), F.lit(0.0)).alias("sum_net"),
-    ).select(
-        "*",
-        ginis[0].alias("gini_growth_pos"), ginis[1].alias("gini_stock_current"),
-        hhis[0].alias("hhi_growth_pos"), hhis[1].alias("hhi_stock_current"),
+    ).withColumn("indices", indices.agg(F.struct(*each)).scalar()).select(
+        "n_indicators", "n_positive_growth", "sum_pos", "sum_net", "indices.*"
     )

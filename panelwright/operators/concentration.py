@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright import presets
 from panelwright.functions import band
+from panelwright.operators.panel import latest_period
 from panelwright.operators.ranking import Grouping, measure, value_ranks
 
 
@@ -104,19 +105,25 @@ def concentration_ratios(
     return _per_group(df, by, value, *[_cr(k, ties, empty).alias(f"cr{k}") for k in ks])
 
 
-def top_share(df: DataFrame, value: str, fractions: Sequence[float]) -> DataFrame:
-    """One row: the share of the sum held by the top ``ceil(p·n)`` rows, per fraction ``p``.
+def inequality(df: DataFrame, value: str, fractions: Sequence[float]) -> DataFrame:
+    """One row: the Gini coefficient and, per fraction ``p``, the share of the sum held by the
+    top ``ceil(p·n)`` rows.
 
     ``n`` counts all rows, also those without a value.
     """
     ranks = value_ranks(df, Grouping(df, []), value).withColumn("all_rows", df.agg(F.count(F.lit(1))).scalar())
-    columns = []
+    columns = [_gini().alias("gini")]
     for p in fractions:
         k = F.greatest(F.lit(1), F.ceil(F.col("all_rows") * F.lit(p)))
         columns.append(F.try_divide(_top_mass(k), _mass()).alias(f"top{round(p * 100)}"))
     return ranks.agg(*columns)
 
 
+def top_share(df: DataFrame, value: str, fractions: Sequence[float]) -> DataFrame:
+    """The top shares of ``inequality`` alone."""
+    return inequality(df, value, fractions).drop("gini")
+
+
 def hhi_category(c: Column) -> Column:
     return band(c, presets.HHI_CATEGORIES, presets.HHI_CATEGORY_REST, keep_null=True)
 
@@ -168,15 +175,14 @@ def hhi_trend(indices: DataFrame, by: Sequence[str] = ("market",), period: str =
     return indices.withColumn("hhi_trend", F.col("hhi") - previous)
 
 
-def entry_barriers(indices: DataFrame, period: str = "period") -> DataFrame:
+def entry_barriers(indices: DataFrame, period: str = "period", seen_in: DataFrame | None = None) -> DataFrame:
     """Entry-barrier level and its meaning, from the HHI of the last period."""
-    last = indices.agg(F.max(period)).scalar()
     level = band(F.col("hhi"), presets.ENTRY_BARRIERS, presets.ENTRY_BARRIER_REST)
     text = F.lit(presets.BARRIER_TEXT[presets.ENTRY_BARRIER_REST])
     for name, meaning in presets.BARRIER_TEXT.items():
         text = F.when(F.col("barrier") == name, F.lit(meaning)).otherwise(text)
     return (
-        indices.filter(F.col(period) == last)
+        latest_period(indices, period, seen_in)
         .withColumn("barrier", level)
         .withColumn("barrier_implication", text)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright import presets
 from panelwright.functions import band, clip_nonneg, finite_or_null
-from panelwright.operators.concentration import gini, top_share
+from panelwright.operators.concentration import inequality
 from panelwright.operators.panel import drop_all_null
 
 
@@ -57,10 +57,9 @@ def growth_metrics(panel: DataFrame, fractions: Sequence[float] = (0.20, 0.50))
         F.coalesce(F.sum(finite_or_null("delta_abs")), F.lit(0.0)).alias("total_growth_net"),
         F.count(F.lit(1)).cast("double").alias("n_indicators"),
     )
-    inequality = gini(rows, [], "delta_pos").select("gini").scalar()
-    pareto = top_share(rows, "delta_pos", fractions)
-    return sums.withColumn("tops", pareto.select(F.struct(*pareto.columns)).scalar()).select(
-        inequality.alias("gini_growth_pos"),
-        *[F.col(f"tops.{c}").alias(f"pareto_{c}_pos") for c in pareto.columns],
+    spread = inequality(rows, "delta_pos", fractions)
+    return sums.withColumn("spread", spread.select(F.struct(*spread.columns)).scalar()).select(
+        F.col("spread.gini").alias("gini_growth_pos"),
+        *[F.col(f"spread.{c}").alias(f"pareto_{c}_pos") for c in spread.columns if c != "gini"],
         "total_growth_pos", "total_growth_net", "n_indicators",
     )

@@ -43,10 +43,18 @@ def period_filter(df: DataFrame, periods: Sequence[int], period: str = "period")
     return df.filter(F.col(period).isin(*periods))
 
 
-def latest_period(df: DataFrame, period: str = "period") -> DataFrame:
-    """Rows of the last period. The maximum is a scalar subquery, so the rows are not shuffled."""
-    last = df.agg(F.max(period)).scalar()
-    return df.filter(F.col(period) == last)
+def last_period(df: DataFrame, period: str = "period") -> Column:
+    """The last period as a scalar subquery."""
+    return df.agg(F.max(period)).scalar()
+
+
+def latest_period(df: DataFrame, period: str = "period", seen_in: DataFrame | None = None) -> DataFrame:
+    """Rows of the last period; they are not shuffled for it.
+
+    ``seen_in``, here and elsewhere, is a table with the same periods that is cheaper to ask
+    than ``df``, such as the source from which ``df`` was aggregated.
+    """
+    return df.filter(F.col(period) == last_period(df if seen_in is None else seen_in, period))
 
 
 def lookup_scalar(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright import presets
 from panelwright.functions import band, clip_nonneg, finite_or_null, share
+from panelwright.operators.panel import latest_period
 from panelwright.operators.ranking import attach_ranks, tie_positions, top_k_per_group
 
 INDICATOR_MARKETS = ("stock_base", "stock_current", "growth_pos")
@@ -119,14 +120,20 @@ def share_evolution(
 
 
 def rank_mobility(
-    shares: DataFrame, base: int, current: int, keys: Sequence[str] = ("actor", "market"), period: str = "period"
+    shares: DataFrame,
+    base: int,
+    current: int,
+    keys: Sequence[str] = ("actor", "market"),
+    period: str = "period",
+    seen_in: DataFrame | None = None,
 ) -> DataFrame:
     """Rank in two periods and how it moved; a missing period gives no rows.
 
     A change of exactly -2, or an actor without a rank in one period, is a significant decline.
     """
     wide = _compare(shares, keys, period, base, current, "rank")
-    both_seen = shares.agg(F.bool_or(F.col(period) == base) & F.bool_or(F.col(period) == current)).scalar()
+    periods = shares if seen_in is None else seen_in
+    both_seen = periods.agg(F.bool_or(F.col(period) == base) & F.bool_or(F.col(period) == current)).scalar()
     change = F.col("rank_base") - F.col("rank_current")
     return (
         wide.filter(both_seen)
@@ -141,14 +148,14 @@ def dominance(
     threshold: float = presets.DOMINANCE_THRESHOLD,
     period: str = "period",
     market: str = "market",
+    seen_in: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of the last period with a dominance flag and the gap to the best other actor.
 
     The gap is NULL in a market without a dominant actor. The facts per market are joined by
     broadcast: they have at most ``len(markets)`` rows.
     """
-    last = shares.agg(F.max(period)).scalar()
-    rows = shares.filter((F.col(period) == last) & F.col(market).isin(*markets))
+    rows = latest_period(shares, period, seen_in).filter(F.col(market).isin(*markets))
     flag = F.col("share") > threshold
     facts = rows.groupBy(market).agg(
         F.max(F.when(flag, F.col("share"))).alias("best_dominant"),

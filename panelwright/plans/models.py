@@ -58,8 +58,8 @@ def actor_concentration_model(actors: DataFrame, base: int, current: int) -> dic
         panels.period_filter(actors, [base, current]), ["actor", "period"], shares.ACTOR_MARKETS
     )
     by = ["period", "market"]
-    indices = concentration.concentration_indices(rows, by, "capacity", ties="row", variant="actor")
-    # Several tables below read the shares, whose ranks take the most work.
+    # Several tables below read the indices and the shares, whose ranks take the most work.
+    indices = durable(concentration.concentration_indices(rows, by, "capacity", ties="row", variant="actor"))
     ranked = durable(shares.market_shares(rows, by, ties="min"))
     return {
         "actor_indices": concentration.hhi_trend(indices),

@@ -118,6 +118,11 @@ def supplier_panel(spark, sf_dir, periods=None) -> DataFrame:
     )
 
 
+def ship_years(spark, sf_dir) -> DataFrame:
+    """The years of the supplier panel, from one column of its source."""
+    return table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("period"))
+
+
 def user_panel(spark, sf_dir) -> DataFrame:
     """Events per user and kind in the two halves of January; a kind has a high and a low part."""
     level = F.when(F.col("value") >= 20, "high").otherwise("low")

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from panelwright.functions import share
 from panelwright.operators import concentration as con, shares
 from panelwright.operators.ranking import top_k_per_group
 from registered.base import (
-    BASE, CURRENT, PERIODS, cte, customer_panel, nation_long, query, rounded, sql, supplier_panel, table,
+    BASE, CURRENT, PERIODS, cte, customer_panel, nation_long, order_values, query, rounded, ship_years, sql,
+    supplier_panel, table,
 )
 
 KEYS = ["category", "indicator", "unit"]
@@ -337,7 +337,8 @@ MOBILITY = """CASE WHEN rank_base - rank_current > 2 THEN 'Significant Improveme
 SELECT actor, market, rank_base, rank_current, rank_base - rank_current AS rank_change, {MOBILITY} AS mobility
 FROM share_pairs"""))
 def mobility(spark, sf_dir):
-    return shares.rank_mobility(supplier_shares(spark, sf_dir, PERIODS), BASE, CURRENT)
+    rows = supplier_shares(spark, sf_dir, PERIODS)
+    return shares.rank_mobility(rows, BASE, CURRENT, seen_in=ship_years(spark, sf_dir))
 
 
 @query("con15b_rank_mobility_missing", sql("share_pairs", f"""
@@ -345,7 +346,8 @@ SELECT actor, market, rank_base, rank_current, rank_base - rank_current AS rank_
 FROM share_pairs WHERE EXISTS (SELECT 1 FROM supplier_panel WHERE period = 2050)"""))
 def mobility_missing(spark, sf_dir):
     """The second period does not occur: no rows, same columns."""
-    return shares.rank_mobility(supplier_shares(spark, sf_dir, PERIODS), BASE, 2050)
+    rows = supplier_shares(spark, sf_dir, PERIODS)
+    return shares.rank_mobility(rows, BASE, 2050, seen_in=ship_years(spark, sf_dir))
 
 
 # At the size of the tables no supplier holds 40 % of a market; the threshold is scaled down.
@@ -359,7 +361,9 @@ SELECT actor, market, capacity, round(share, 12) AS share, rank, is_dominant,
        round(max(share) FILTER (NOT is_dominant) OVER w / nullif(max(share) FILTER (is_dominant) OVER w, 0), 9) AS dominant_gap
 FROM f WINDOW w AS (PARTITION BY market)"""))
 def dominant(spark, sf_dir):
-    rows = shares.dominance(supplier_shares(spark, sf_dir), shares.ACTOR_MARKETS, DOMINANT)
+    rows = shares.dominance(
+        supplier_shares(spark, sf_dir), shares.ACTOR_MARKETS, DOMINANT, seen_in=ship_years(spark, sf_dir)
+    )
     return rows.select(
         "actor", "market", "capacity", F.round("share", 12).alias("share"), "rank", "is_dominant",
         F.round("dominant_gap", 9).alias("dominant_gap"),
@@ -375,11 +379,9 @@ SELECT category, indicator, round(share, 9) AS share, is_dominant,
 FROM f WINDOW w AS (PARTITION BY category)"""))
 def dominant_region(spark, sf_dir):
     """Nations inside their region; the regions are the market list."""
-    long = nation_long(spark, sf_dir)
-    totals = long.groupBy("category", "period").agg(F.sum("value").alias("total"))
-    rows = long.join(totals, ["category", "period"]).withColumn("share", share(F.col("value"), F.col("total")))
+    rows = shares.market_shares(nation_long(spark, sf_dir), ["category", "period"], "value", ties="min")
     regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    out = shares.dominance(rows, regions, 0.21, market="category")
+    out = shares.dominance(rows, regions, 0.21, market="category", seen_in=order_values(spark, sf_dir))
     return rounded(out.select("category", "indicator", "share", "is_dominant", "dominant_gap"))
 
 
@@ -393,7 +395,7 @@ SELECT period, market, round(hhi, 6) AS hhi, barrier,
 FROM b"""))
 def barriers(spark, sf_dir):
     table = con.hhi(supplier_markets(spark, sf_dir), ["period", "market"], "capacity")
-    out = con.entry_barriers(table)
+    out = con.entry_barriers(table, seen_in=ship_years(spark, sf_dir))
     return rounded(out.select("period", "market", "hhi", "barrier", "barrier_implication"), 6)
 
 

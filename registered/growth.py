@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import growth, metrics
+from panelwright.operators import concentration, growth, metrics
 from registered.base import cte, customer_panel, query, rounded, sql
 
 cte("growth", ("customer_panel",), """
@@ -91,4 +91,4 @@ SELECT round({PARETO.format(p=0.01)}, 9) AS top1, round({PARETO.format(p=0.1)},
        round({PARETO.format(p=0.2)}, 9) AS top20, round({PARETO.format(p=0.5)}, 9) AS top50"""))
 def pareto(spark, sf_dir):
     rows = growth.positive_growth(customer_panel(spark, sf_dir))
-    return rounded(growth.top_share(rows, "delta_pos", [0.01, 0.1, 0.2, 0.5]))
+    return rounded(concentration.top_share(rows, "delta_pos", [0.01, 0.1, 0.2, 0.5]))

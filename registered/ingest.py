@@ -17,7 +17,7 @@ from panelwright.sources import (
     write_table,
 )
 from registered.base import (
-    BASE, CURRENT, cte, customer_long, customer_panel, nation_long, query, sql, supplier_panel, table,
+    BASE, CURRENT, cte, customer_long, customer_panel, nation_long, query, ship_years, sql, supplier_panel, table,
 )
 
 # The unit is missing in three ways, the notes hold commas and quotes.
@@ -278,7 +278,7 @@ def two_periods(spark, sf_dir):
 @query("cln14_latest_period", sql("supplier_panel", """
 SELECT * FROM supplier_panel WHERE period = (SELECT max(period) FROM supplier_panel)"""))
 def last_period(spark, sf_dir):
-    return panels.latest_period(supplier_panel(spark, sf_dir))
+    return panels.latest_period(supplier_panel(spark, sf_dir), seen_in=ship_years(spark, sf_dir))
 
 
 @query("cln15_lookup_scalar", sql("supplier_panel", """
