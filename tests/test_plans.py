@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry_module
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = entry_module.QUERIES, entry_module.ORACLES
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are absent")
 # K-means trains a model, so its query has no single plan.
 PLANNED = sorted(set(QUERIES) - {"idx15_cluster_indicators"})
