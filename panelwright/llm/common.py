@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwright.sources import durable, scratch_path
 
-__all__ = ["SPACE", "documents", "durable", "fold", "has_space", "package_on_workers", "scratch_path", "stored"]
+__all__ = ["SPACE", "documents", "durable", "fold", "package_on_workers", "scratch_path", "stored", "vocabulary_file"]
 
 #: White space as every contract here counts it: the blank and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -55,3 +55,12 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def vocabulary_file(name: str) -> str:
+    """Place of a public vocabulary file on this machine; a path stays as it is."""
+    if os.sep in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import exact, simhash
+from panelwright.llm import exact, packing, pieces, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,13 @@ def op2(spark, sf_dir):
 @query("op5_simhash_components")
 def op5(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_packed_windows")
+def op3(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sentencepiece")
+def op7(spark, sf_dir):
+    return pieces.piece_digests(table(spark, sf_dir, "documents"))
