@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright.llm.common import SPACE, documents, package_on_workers, scratch_path
 
-BUCKET_BYTES = 8 << 20  # a bucket is split above this many bytes of text
+BUCKET_BYTES = 4 << 20  # a bucket is split above this many bytes of text
 HELD_BYTES = 32 << 20  # text a first-pass task keeps before it writes its entries
 
 _ROWS = "kind string, hash bigint, sha string, doc_id bigint, rows bigint, bytes bigint, norm string"
@@ -73,6 +73,11 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def prefix(depth: int):
+    """The first ``depth`` bits of column hash."""
+    return F.shiftrightunsigned(F.shiftrightunsigned("hash", 1), 63 - depth)
+
+
 def directory(sizes: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """Grow the directory over (hash, bytes); returns its slots and its depth.
 
@@ -80,11 +85,8 @@ def directory(sizes: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataF
     ``local_depth`` bits: the shortest prefix whose texts fit ``bucket_bytes``. The directory
     doubles while a bucket of more than one hash is overfull. Columns: slot, bucket, local_depth.
     """
-    def slots(depth):
-        return F.shiftrightunsigned(F.shiftrightunsigned("hash", 1), 63 - depth)
-
     def overfull(depth):
-        found = sizes.groupBy(slots(depth).alias("slot")).agg(
+        found = sizes.groupBy(prefix(depth).alias("slot")).agg(
             F.sum("bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
         return found.filter((F.col("bytes") > bucket_bytes) & (F.col("low") != F.col("high")))
 
@@ -92,7 +94,7 @@ def directory(sizes: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataF
     depth = max(0, (total // bucket_bytes).bit_length())
     while depth < 40 and overfull(depth).limit(1).count():
         depth += 1
-    level = sizes.groupBy(slots(depth).alias("slot")).agg(
+    level = sizes.groupBy(prefix(depth).alias("slot")).agg(
         F.sum("bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
     # From the slots upwards: a parent that fits takes its children back, so buckets differ in depth.
     table = level.select("slot", F.col("slot").alias("bucket"), F.lit(depth).alias("local_depth"))
@@ -152,12 +154,11 @@ def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[Dat
     hashed.mapInArrow(_entries, _ROWS).write.partitionBy("kind").parquet(path)
     index = spark.read.schema(_ROWS).parquet(path)
     entries = index.filter("kind = 'entry'")
-    slots, depth = directory(entries.select("hash", "bytes"), bucket_bytes)
-    slot = F.shiftrightunsigned(F.shiftrightunsigned("hash", 1), 63 - depth)
-    owned = entries.withColumn("slot", slot).join(slots, "slot").select(
-        "bucket", "local_depth", "hash", "sha", "doc_id", "rows", "norm")
-    chained = owned.repartition("local_depth", "bucket").sortWithinPartitions("hash").drop("local_depth", "bucket")
-    groups = chained.mapInArrow(_chains, _GROUPS)
+    slots, _ = directory(entries.select("hash", "bytes"), bucket_bytes)
+    # The shallowest bucket sets the owners' key ranges, so each owner has whole buckets.
+    shared = slots.agg(F.min("local_depth")).first()[0] or 0
+    owned = entries.select("hash", "sha", "doc_id", "rows", "norm").repartition(prefix(shared))
+    groups = owned.sortWithinPartitions("hash").mapInArrow(_chains, _GROUPS)
     return index.filter("kind = 'doc'").select("doc_id", "hash", "sha"), groups
 
 
