@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import exact, packing, pieces, simhash
+from panelwright.llm import exact, language, packing, pieces, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,13 @@ def op3(spark, sf_dir):
 @query("op7_sentencepiece")
 def op7(spark, sf_dir):
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_language")
+def op10(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
