@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import exact, language, packing, pieces, simhash, toxicity
+from panelwright.llm import exact, language, packing, pieces, quality, simhash, toxicity, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op2(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_word_pieces")
+def op4(spark, sf_dir):
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
+
+
 @query("op5_simhash_components")
 def op5(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -52,6 +57,11 @@ def op7(spark, sf_dir):
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
 
 
+@query("op8_quality_rules")
+def op8(spark, sf_dir):
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
