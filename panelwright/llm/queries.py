@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import exact, language, packing, pieces, quality, simhash, toxicity, wordpiece
+from panelwright.llm import exact, language, packing, pieces, pii, quality, secrets, simhash, toxicity, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_personal_data")
+def op1(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op2_exact_duplicates", r"""
     WITH texts AS (
         SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -52,6 +57,11 @@ def op3(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op6_secrets", secrets.oracle_sql())
+def op6(spark, sf_dir):
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op7_sentencepiece")
 def op7(spark, sf_dir):
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
