@@ -19,10 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.llm.common import documents, stored
-from panelwright.llm.spans import count_of, digest, of_kinds, written
+from panelwright.llm.spans import bind, count_of, digest, gather, of_kinds, written
 
 LABELERS = 6
-ROUNDS, STEPS, RATE = 25, 150, 0.5
+ROUNDS, STEPS, RATE = 20, 100, 1.0
 NEAR = 48  # characters before a candidate in which cue words count
 ABSTAIN, YES, NO = 0, 1, 2
 
@@ -117,36 +117,29 @@ def _votes(kind: Kind, before: Column, match: Column, after: Column) -> Column:
     return sum((vote * 3 ** place for place, vote in enumerate(votes)), F.lit(0))
 
 
-def _found(text: str, kind: Kind, order: int) -> Column:
+def _found(text: Column, kind: Kind, order: int) -> Column:
     """Candidates of one kind: leftmost non-overlapping matches that pass the loose test."""
     between = F.split(text, kind.pattern, -1)
     pieces = F.arrays_zip(
         between.alias("before"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("match"),
         F.slice(between, 2, 1 << 30).alias("after"))
 
-    def step(state: Column, piece: Column) -> Column:
-        match = piece["match"]
-        start = state["at"] + F.length(piece["before"])
-        end = start + F.coalesce(F.length(match), F.lit(0))
-        candidate = F.struct(
+    gathered = gather(
+        pieces, _CANDIDATE, (lambda match: F.lit(True)) if kind.loose is None else kind.loose,
+        lambda start, end, piece: F.struct(
             start.alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(kind.name).alias("kind"),
-            _votes(kind, piece["before"], match, F.coalesce(piece["after"], F.lit(""))).alias("votes"),
-            (F.lit(False) if kind.base is None else kind.base(match)).alias("base"))
-        admitted = match.isNotNull() & (F.lit(True) if kind.loose is None else kind.loose(match))
-        return F.struct(
-            end.alias("at"),
-            F.when(admitted, F.concat(state["found"], F.array(candidate).cast(_CANDIDATE)))
-            .otherwise(state["found"]).alias("found"))
-
-    none = F.array().cast(_CANDIDATE)
-    gathered = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
-    return F.when(F.regexp_like(text, F.lit(kind.pattern)), gathered).otherwise(none)
+            _votes(kind, piece["before"], piece["match"], F.coalesce(piece["after"], F.lit(""))).alias("votes"),
+            (F.lit(False) if kind.base is None else kind.base(piece["match"])).alias("base")))
+    return F.when(F.regexp_like(text, F.lit(kind.pattern)), gathered).otherwise(F.array().cast(_CANDIDATE))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and the candidates of every row of ``docs``, with their votes."""
-    return documents(docs).select("doc_id", F.concat(*[
-        _found("text", kind, order) for order, kind in enumerate(KINDS)]).alias("candidates"))
+    return documents(docs).select("doc_id", _candidates(F.col("text")).alias("candidates"))
+
+
+def _candidates(text: Column) -> Column:
+    return F.concat(*[_found(text, kind, order) for order, kind in enumerate(KINDS)])
 
 
 def _vote(votes: Column, labeler: int) -> Column:
@@ -157,69 +150,66 @@ def _logistic(value: Column) -> Column:
     return 1 / (1 + F.exp(-value))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _add(total: Column, part: Column, factor: Column) -> Column:
+    return bind(factor, lambda f: F.zip_with(total, part, lambda x, y: x + y * f))
+
+
 def train(found: DataFrame) -> DataFrame:
-    """One row: ``reliability`` (per labeler and vote its log odds of personal) and ``weights``.
+    """One row: ``reliability`` and ``weights``.
 
-    ``weights`` are those of the final classifier: one per kind, then one per labeler and vote.
+    ``reliability`` has for each labeler and vote the log odds of personal, then the log odds of all;
+    ``weights`` are those of the final classifier, one per kind, then one per labeler and vote.
     """
     counts = found.select(F.explode("candidates").alias("c")).groupBy("c.kind_order", "c.votes").agg(
         F.count(F.lit(1)).cast("double").alias("n"))
-    slots = 3 * LABELERS
     each = [_vote(F.col("votes"), k) for k in range(LABELERS)]
-    # Slot of each labeler's vote, and the kind's slot before them.
-    seen = counts.select(
-        F.log1p("n").alias("m"), "n", "kind_order", "votes",
-        F.array(*[(vote + 3 * k).cast("int") for k, vote in enumerate(each)]).alias("slots"),
-        sum(F.when(v == YES, 1).when(v == NO, -1).otherwise(0) for v in each).alias("margin"))
-    row = seen.agg(F.array_sort(F.collect_list(F.struct("kind_order", "votes", "n", "m", "slots", "margin"))).alias("p"))
+    votes = [(vote == value).cast("double") for vote in each for value in (ABSTAIN, YES, NO)]
+    kinds = [(F.col("kind_order") == k).cast("double") for k in range(len(KINDS))]
+    margin = sum(F.when(v == YES, 1.0).when(v == NO, -1.0).otherwise(0.0) for v in each)
+    seen = counts.select(F.struct(
+        "kind_order", "votes", "n", margin.alias("margin"), F.array(*votes, F.lit(1.0)).alias("voted"),
+        F.array(*kinds, *votes).alias("x")).alias("p"))
+    row = seen.agg(F.array_sort(F.collect_list("p")).alias("p"))
 
     # Expectation-maximisation over the combinations, begun from the majority of votes.
-    begun = F.transform("p", lambda p: _logistic(p["margin"].cast("double")))
-
-    def log_odds(q: Column) -> Column:
-        """Per slot the log of its share on personal over its share on other spans, smoothed."""
-        pairs = F.zip_with("p", q, lambda p, belief: F.struct(p["slots"].alias("slots"), p["n"].alias("n"), belief.alias("q")))
-        yes = F.aggregate(pairs, F.lit(2.0), lambda s, x: s + x["n"] * x["q"])
-        no = F.aggregate(pairs, F.lit(2.0), lambda s, x: s + x["n"] * (1 - x["q"]))
-
-        def odds(slot: Column) -> Column:
-            both = F.aggregate(
-                F.filter(pairs, lambda x: F.array_contains(x["slots"], slot)),
-                F.struct(F.lit(0.5).alias("yes"), F.lit(0.5).alias("no")),
-                lambda s, x: F.struct((s["yes"] + x["n"] * x["q"]).alias("yes"), (s["no"] + x["n"] * (1 - x["q"])).alias("no")))
-            return F.log(both["yes"] / yes) - F.log(both["no"] / no)
-
-        return F.concat(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), odds), F.array(F.log(yes / no)))
-
-    def beliefs(odds: Column) -> Column:
-        return F.transform("p", lambda p: _logistic(F.aggregate(
-            p["slots"], F.get(odds, F.lit(slots)), lambda s, slot: s + F.get(odds, slot))))
-
-    rounds = row
-    rounds = rounds.withColumn("q", begun)
-    for _ in range(ROUNDS):
-        rounds = rounds.withColumn("odds", log_odds(F.col("q"))).withColumn("q", beliefs(F.col("odds")))
+    begun = _log_odds(lambda p: _logistic(p["margin"]))
+    odds = F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS)), begun,
+        lambda odds, _: _log_odds(lambda p: _logistic(_dot(p["voted"], odds))))
+    rounds = row.withColumn("odds", odds).withColumn(
+        "q", F.transform("p", lambda p: _logistic(_dot(p["voted"], F.col("odds")))))
     # The classifier: logistic regression on the beliefs by gradient steps, each combination weighted by
     # the logarithm of its count, so that the frequent ones do not drown the others.
-    kinds = len(KINDS)
-    rows = F.zip_with("p", "q", lambda p, belief: F.struct(
-        F.concat(F.array(p["kind_order"]), F.transform(p["slots"], lambda s: s + kinds)).alias("x"),
-        p["m"].alias("n"), belief.alias("q")))
-    ready = rounds.select("p", "odds", rows.alias("r"), F.aggregate("p", F.lit(1e-9), lambda s, p: s + p["m"]).alias("total"))
-
-    def gradient_step(w: Column, _: Column) -> Column:
-        errors = F.transform("r", lambda r: F.struct(r["x"].alias("x"), (r["n"] * (r["q"] - _logistic(F.aggregate(
-            r["x"], F.lit(0.0), lambda s, slot: s + F.get(w, slot))))).alias("e")))
-        # Adding up the errors of each slot: one pass per slot, over at most as many rows as combinations.
-        return F.zip_with(w, F.transform(F.sequence(F.lit(0), F.lit(kinds + slots - 1)), lambda slot: F.aggregate(
-            F.filter(errors, lambda e: F.array_contains(e["x"], slot)), F.lit(0.0), lambda s, e: s + e["e"])),
-            lambda old, up: old * 0.999 + RATE * up / F.col("total"))
-
-    zero = F.array_repeat(F.lit(0.0), kinds + slots)
-    weights = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), zero, gradient_step)
+    rows = F.zip_with("p", "q", lambda p, q: F.struct(p["x"].alias("x"), F.log1p(p["n"]).alias("m"), q.alias("q")))
+    ready = rounds.select("odds", rows.alias("r")).withColumn(
+        "total", F.aggregate("r", F.lit(1e-9), lambda s, r: s + r["m"]))
+    size = len(KINDS) + 3 * LABELERS
+    zero = F.array_repeat(F.lit(0.0), size)
+
+    def step(weights: Column, _: Column) -> Column:
+        return F.aggregate("r", F.transform(weights, lambda w: w * 0.999), lambda w, r: _add(
+            w, r["x"], RATE * r["m"] * (r["q"] - _logistic(_dot(weights, r["x"]))) / F.col("total")))
+
+    weights = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), zero, step)
     return ready.select(F.col("odds").alias("reliability"), weights.alias("weights"))
 
 
+def _log_odds(belief: Callable[[Column], Column]) -> Column:
+    """Log odds of personal per slot, given how likely each combination is personal; those of all come last."""
+    slots = 3 * LABELERS + 1
+    begun = F.struct(*[F.array_repeat(F.lit(0.5), slots).alias(side) for side in ("yes", "no")])
+    mass = F.aggregate("p", begun, lambda s, p: bind(belief(p), lambda q: F.struct(
+        F.zip_with(s["yes"], p["voted"], lambda x, v: x + v * p["n"] * q).alias("yes"),
+        F.zip_with(s["no"], p["voted"], lambda x, v: x + v * p["n"] * (1 - q)).alias("no"))),
+        lambda s: F.zip_with(s["yes"], s["no"], lambda a, b: F.log(a / b)))
+    return bind(mass, lambda o: bind(F.get(o, F.lit(slots - 1)), lambda every: F.concat(
+        F.transform(F.slice(o, 1, slots - 1), lambda x: x - every), F.array(every))))
+
+
 def personal(weights: list[float], order: Column, votes: Column) -> Column:
     """The classifier's probability of a candidate."""
     held = F.array(*[F.lit(float(w)) for w in weights])
@@ -229,20 +219,49 @@ def personal(weights: list[float], order: Column, votes: Column) -> Column:
     return _logistic(total)
 
 
+def fit(found: DataFrame) -> list[float]:
+    """The classifier's weights, one number per kind and per labeler and vote."""
+    return train(found).first()["weights"]
+
+
+def _accepted(weights: list[float]) -> Column:
+    return F.filter("candidates", lambda c: c["base"] | (
+        ~c["kind"].isin(*BASE) & (personal(weights, c["kind_order"], c["votes"]) >= 0.5)))
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """``docs`` with each span of personal data written over by its kind in brackets.
+
+    Spans that overlap count as one, named after the first. A null text stays null; all other
+    columns come along.
+    """
+    weights = fit(stored(candidates(docs), "pii-candidates"))
+    found = docs.withColumn("candidates", _candidates(F.coalesce(F.col("text"), F.lit(""))))
+    spans = found.withColumn("candidates", F.array_sort(_accepted(weights)))
+
+    def step(state: Column, c: Column) -> Column:
+        before = F.substring("text", state["at"] + 1, c["start"] - state["at"])
+        fresh = F.concat(state["parts"], F.array(F.concat(before, F.lit("["), F.upper(c["kind"]), F.lit("]"))))
+        return F.struct(
+            F.greatest(state["at"], c["end"]).alias("at"),
+            F.when(c["start"] >= state["at"], fresh).otherwise(state["parts"]).alias("parts"))
+
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    text = F.aggregate("candidates", begun, step, lambda s: F.concat(
+        F.array_join(s["parts"], ""), F.substring("text", s["at"] + 1, F.length("text"))))
+    return spans.withColumn("text", F.when(F.size("candidates") > 0, text).otherwise(F.col("text"))).drop("candidates")
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """Spans of personal data in every row of ``docs``.
 
     Columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans as
-    kind:start:end), spans (with those that the classifier adds, written the
-    same way). Places are code points, ends exclusive. A null text is empty.
-    Repeated and null ids are rows of their own. Without candidates nothing is added. No rows give
-    no rows; other columns are not read.
+    kind:start:end), spans (with those that the classifier adds, written the same way). Places are
+    code points, ends exclusive. A null text is empty. Repeated and null ids are rows of their own.
+    Without candidates nothing is added. No rows give no rows; other columns are not read.
     """
     found = stored(candidates(docs), "pii-candidates")
-    weights = train(found).first()["weights"]  # one number per kind and vote
     base = F.filter("candidates", lambda c: c["base"])
-    kept = F.filter("candidates", lambda c: c["base"] | (
-        ~c["kind"].isin(*BASE) & (personal(weights, c["kind_order"], c["votes"]) >= 0.5)))
-    return found.select("doc_id", base.alias("base"), kept.alias("kept")).select(
+    return found.select("doc_id", base.alias("base"), _accepted(fit(found)).alias("kept")).select(
         "doc_id", *[count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in BASE],
         digest(of_kinds(F.col("base"), BASE)).alias("base_sha256"), written(F.col("kept")).alias("spans"))
