@@ -182,6 +182,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         run, "doc_id bigint, held_out boolean, lang_pred string, score double, text_xxh64 bigint")
 
 
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``lang`` set to the predicted language; all other columns come along."""
+    package_on_workers(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("lang")
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            langs = pa.array([shared.value.predict(t)[0] for t in texts], pa.string())
+            columns = [langs if i == place else batch.column(i) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """Predict the language of every row of ``docs`` (doc_id, text, lang).
 
