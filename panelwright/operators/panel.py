@@ -39,7 +39,11 @@ def clip_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def period_filter(df: DataFrame, periods: Sequence[int], period: str = "period") -> DataFrame:
-    """Rows of the given periods; reaches the scan as an ``IN`` filter or prunes partitions."""
+    """Rows of the given periods.
+
+    On a stored period column the filter reaches the scan or prunes folders. A period computed from a
+    date does not; give such a source a date range first.
+    """
     return df.filter(F.col(period).isin(*periods))
 
 

@@ -10,15 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions import blank_to_null, to_int, to_number
 from panelwright.presets import LONG_PATTERNS
-from panelwright.sources.files import LONG_SCHEMA
+from panelwright.sources.files import LONG_SCHEMA, ColumnsMissing
 
 REQUIRED_LONG = ("category", "indicator", "period", "value")
 
 
-class ColumnsMissing(ValueError):
-    """A table lacks columns that an operator requires."""
-
-
 def _plain_name(name: str) -> str:
     ascii_name = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()
     words = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", ascii_name.replace("%", "_percent_"))

@@ -22,48 +22,77 @@ LONG_SCHEMA = T.StructType([
 ])
 
 
-def _csv(spark: SparkSession, header: bool = True):
-    return spark.read.option("header", header).option("quote", '"').option("escape", '"')
-
-
-def read_indicator_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header. Empty text, quoted empty text and ``NA`` all mean missing.
-
-    ``schema`` is the declared one; nothing is inferred, so the files are read once.
+class ColumnsMissing(ValueError):
+    """A table lacks columns that an operator requires."""
+
+
+#: One form for reading and writing: quotes are doubled, line breaks stand in quotes, blanks are kept.
+CSV = {"quote": '"', "escape": '"', "nullValue": "NA"}
+_MALFORMED = "_malformed"
+
+
+def _records(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool, multi_line: bool
+) -> tuple[DataFrame, list[str]]:
+    """All fields as text, found by name, and the text of records with too few or too many fields."""
+    options = {**CSV, "header": header, "multiLine": multi_line, "enforceSchema": False}
+    names = schema.fieldNames()
+    if header:
+        present = spark.read.options(**options).csv(path).columns
+        missing = [name for name in names if name not in present]
+        if missing:
+            raise ColumnsMissing(f"no column {', '.join(missing)} among {', '.join(present)}")
+        names = present
+    text = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _MALFORMED]])
+    # Without column pruning every record is split into all its fields, so their number is checked.
+    reader = spark.read.options(**options, columnPruning=False, columnNameOfCorruptRecord=_MALFORMED)
+    return reader.schema(text).csv(path), names
+
+
+def _parsed(name: str, kind: T.DataType) -> Column:
+    return blank_to_null(name) if isinstance(kind, T.StringType) else F.expr(
+        f"try_cast(trim(`{name}`) AS {kind.simpleString()})")
+
+
+def _checked(records: DataFrame, names: Sequence[str], schema: T.StructType) -> DataFrame:
+    """``row``, the record as declared, and ``bad``, its text if it cannot be read so."""
+    unread = F.lit(False)
+    for f in schema.fields:
+        if not isinstance(f.dataType, T.StringType):
+            unread = unread | (blank_to_null(f.name).isNotNull() & _parsed(f.name, f.dataType).isNull())
+    line = F.to_csv(F.struct(*[F.col(f"`{name}`") for name in names]), {**CSV, "emptyValue": ""})
+    return records.select(
+        F.struct(*[_parsed(f.name, f.dataType).alias(f.name) for f in schema.fields]).alias("row"),
+        F.coalesce(F.col(_MALFORMED), F.when(unread, line)).alias("bad"))
+
+
+def read_indicator_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; columns are found by name, others in the file are left out.
+
+    Empty text, quoted empty text and ``NA`` all mean missing. The files must agree in their
+    header. A record with too few or too many fields, or with a field that does not parse, fails
+    the read with its text; ``read_with_quarantine`` sets such records aside. With ``multi_line``
+    quoted fields may hold line breaks and a file is read by one task; tables without them can
+    switch it off, and then large files are split.
     """
-    raw = _csv(spark).schema(schema).option("nullValue", "NA").csv(path)
-    return raw.select(*[
-        blank_to_null(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
-        for f in schema.fields
-    ])
+    records, names = _records(spark, path, schema, True, multi_line)
+    failed = F.raise_error(F.concat(F.lit("malformed record: "), F.col("bad"))).cast(schema)
+    rows = _checked(records, names, schema).select(F.when(F.col("bad").isNull(), F.col("row")).otherwise(failed).alias("row"))
+    return rows.select(*[F.col(f"row.{name}").alias(name) for name in schema.fieldNames()])
 
 
 def read_with_quarantine(
-    spark: SparkSession, path: str, schema: T.StructType, header: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multi_line: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Split a CSV into well-formed rows and the text of malformed lines.
+    """Split a CSV into well-formed rows and the text of malformed records.
 
-    A line is malformed when it has too few or too many fields or a field that does not
-    parse. Lines are read whole and parsed by an expression, so both results can be used
-    freely; reading the corrupt-record column of a CSV scan alone is refused by Spark.
+    A record is malformed when it has too few or too many fields or a field that does not parse.
+    With a header, columns are found by name; without one, by place.
     """
-    lines = (
-        spark.read.schema("line string")
-        .option("header", header)
-        .option("sep", "\u0001")
-        .option("quote", "")
-        .csv(path)
-    )
-    marked = T.StructType([*schema.fields, T.StructField("corrupt_line", T.StringType())])
-    options = {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_line",
-        "nullValue": "NA", "quote": '"', "escape": '"',
-    }
-    parsed = lines.select("line", F.from_csv("line", marked.toDDL(), options).alias("row"))
-    malformed = F.col("row.corrupt_line").isNotNull()
-    good = parsed.filter(~malformed).select(*[F.col(f"row.{name}").alias(name) for name in schema.fieldNames()])
-    bad = parsed.filter(malformed).select(F.col("line").alias("corrupt_line"))
-    return good, bad
+    records, names = _records(spark, path, schema, header, multi_line)
+    checked = _checked(records, names, schema)
+    good = checked.filter(F.col("bad").isNull()).select(*[F.col(f"row.{name}").alias(name) for name in schema.fieldNames()])
+    return good, checked.filter(F.col("bad").isNotNull()).select(F.col("bad").alias("corrupt_line"))
 
 
 def write_table(
@@ -71,26 +100,24 @@ def write_table(
     path: str,
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
-    files_per_partition: int = 32,
     order_by: Sequence[str | Column] = (),
     mode: str = "overwrite",
 ) -> None:
     """Write a result table, the only place where a global order is made.
 
-    With ``partition_by`` the rows of one partition value go to ``files_per_partition``
-    tasks by a hash of the whole row: neither one task per value, which a dominant period
-    would overload, nor one small file per task and value.
+    With ``partition_by`` the rows are rebalanced by those columns: adaptive execution puts small
+    values together and splits a dominant one by its size into as many tasks as it needs.
     """
     if order_by:
         df = df.orderBy(*order_by)
     elif partition_by:
-        slot = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
-        df = df.repartition(*partition_by, slot)
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
+        kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+        writer.options(**CSV, **kept, header=True, quoteAll=True).csv(path)
     else:
         writer.format(fmt).save(path)
 

@@ -60,9 +60,9 @@ def customers(spark, sf_dir) -> DataFrame:
     )
 
 
-def customer_long(spark, sf_dir) -> DataFrame:
-    """All years per customer. Orders are summed per customer and year before the join."""
-    sums = order_values(spark, sf_dir).groupBy("o_custkey", "period").agg(
+def customer_long(spark, sf_dir, periods=None) -> DataFrame:
+    """All or the given years per customer. Orders are summed per customer and year before the join."""
+    sums = order_values(spark, sf_dir, periods).groupBy("o_custkey", "period").agg(
         F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("orders")
     )
     joined = sums.join(customers(spark, sf_dir), "o_custkey")
@@ -136,9 +136,9 @@ def user_panel(spark, sf_dir) -> DataFrame:
     return add_deltas(pivot_compare(events, 1, 2, ["entity", "category", "indicator"], value="n", combine="sum"))
 
 
-def nation_long(spark, sf_dir) -> DataFrame:
-    """All years per nation. Region and nation are joined after the orders are summed."""
-    sums = order_values(spark, sf_dir).groupBy("o_custkey", "period").agg(F.sum("cents").alias("cents"))
+def nation_long(spark, sf_dir, periods=None) -> DataFrame:
+    """All or the given years per nation. Region and nation are joined after the orders are summed."""
+    sums = order_values(spark, sf_dir, periods).groupBy("o_custkey", "period").agg(F.sum("cents").alias("cents"))
     per_nation = (
         sums.join(customers(spark, sf_dir).select("o_custkey", "c_nationkey"), "o_custkey")
         .groupBy("c_nationkey", "period").agg(F.sum("cents").alias("cents"))

@@ -17,7 +17,7 @@ from panelwright.sources import (
     write_table,
 )
 from registered.base import (
-    BASE, CURRENT, cte, customer_long, customer_panel, nation_long, query, ship_years, sql, supplier_panel, table,
+    BASE, CURRENT, PERIODS, cte, customer_long, customer_panel, nation_long, query, ship_years, sql, supplier_panel, table,
 )
 
 # The unit is missing in three ways, the notes hold commas and quotes.
@@ -45,6 +45,15 @@ def read_csv(spark, sf_dir):
     return read_indicator_csv(spark, path, LONG_SCHEMA)
 
 
+@query("src1_read_permuted_csv", sql("messy_long", "SELECT * FROM messy_long"))
+def read_permuted_csv(spark, sf_dir):
+    """The columns in another order, and one more that nothing asks for."""
+    path = scratch_path(spark, "permuted-csv")
+    rows = messy_long(spark, sf_dir)
+    write_table(rows.select(*reversed(rows.columns), F.lit(1).alias("surplus")), path, fmt="csv")
+    return read_indicator_csv(spark, path, LONG_SCHEMA)
+
+
 LINE_SCHEMA = T.StructType([
     T.StructField("category", T.StringType()), T.StructField("indicator", T.StringType()),
     T.StructField("period", T.IntegerType()), T.StructField("value", T.DoubleType()),
@@ -60,7 +69,7 @@ FROM customer_long GROUP BY 1, 2, period % 4 = 3"""))
 def quarantine(spark, sf_dir):
     """Rows whose note has an unquoted comma have one field too many."""
     path = scratch_path(spark, "long-lines")
-    note = F.when(F.col("period") % 4 == 3, "over, half").otherwise("plain")
+    note = F.when(F.col("period") % 4 == 3, "over\u0001, half").otherwise("plain\u0001x")
     number = F.coalesce(F.col("value").cast("string"), F.lit("NA"))
     rows = customer_long(spark, sf_dir).select(
         F.concat_ws(",", "category", "indicator", F.col("period").cast("string"), number, note).alias("value")
@@ -92,16 +101,20 @@ def write_and_read(spark, sf_dir):
     """Written by period, so the filter on the way back reads only the wanted folders."""
     path = scratch_path(spark, "long-parquet")
     long = customer_long(spark, sf_dir).select("category", "indicator", "period", "value", "reported_pct")
-    write_table(long, path, partition_by=["period"], files_per_partition=4)
+    write_table(long, path, partition_by=["period"])
     return spark.read.parquet(path).filter(F.col("period") >= 1998)
 
 
 @query("snk1_write_table_csv", sql("customer_long", """
-SELECT category, indicator, period, value, unit FROM customer_long"""))
+SELECT category, indicator, period, value, unit,
+       CASE WHEN period % 2 = 0 THEN 'from "orders",' || chr(10) || ' summed' || chr(1) || ', ' || indicator END AS notes
+FROM customer_long"""))
 def write_and_read_csv(spark, sf_dir):
+    """Notes with quotes, commas, line breaks and a control character."""
     path = scratch_path(spark, "long-csv-sink")
-    columns = ["category", "indicator", "period", "value", "unit"]
-    write_table(customer_long(spark, sf_dir).select(*columns), path, fmt="csv")
+    columns = ["category", "indicator", "period", "value", "unit", "notes"]
+    notes = F.when(F.col("period") % 2 == 0, F.concat(F.lit('from "orders",\n summed\u0001, '), F.col("indicator")))
+    write_table(customer_long(spark, sf_dir).withColumn("notes", notes).select(*columns), path, fmt="csv")
     return read_indicator_csv(spark, path, T.StructType([LONG_SCHEMA[c] for c in columns]))
 
 
@@ -272,7 +285,7 @@ def finite(spark, sf_dir):
 @query("cln13_period_filter", sql("nation_long", f"""
 SELECT category, indicator, period, value FROM nation_long WHERE period IN ({BASE}, {CURRENT})"""))
 def two_periods(spark, sf_dir):
-    return panels.period_filter(nation_long(spark, sf_dir), [BASE, CURRENT]).drop("unit")
+    return panels.period_filter(nation_long(spark, sf_dir, PERIODS), PERIODS).drop("unit")
 
 
 @query("cln14_latest_period", sql("supplier_panel", """

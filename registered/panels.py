@@ -23,7 +23,7 @@ SELECT category, indicator, unit, max(CASE WHEN period = {BASE} THEN value END)
        max(CASE WHEN period = {CURRENT} THEN value END) AS value_current
 FROM customer_long WHERE period IN ({BASE}, {CURRENT}) GROUP BY 1, 2, 3"""))
 def pivoted(spark, sf_dir):
-    return panels.pivot_compare(customer_long(spark, sf_dir), BASE, CURRENT, KEYS)
+    return panels.pivot_compare(customer_long(spark, sf_dir, [BASE, CURRENT]), BASE, CURRENT, KEYS)
 
 
 @query("pnl02_pivot_combine", sql("customer_wide", "SELECT * FROM customer_wide"))

@@ -43,6 +43,13 @@ def test_scans_read_and_filter_little(spark):
     assert re.search(r"PushedFilters: \[[^\]]*LessThan\(o_orderdate", plan)
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["pnl02_pivot_compare", "cln13_period_filter"])
+def test_two_periods_are_a_date_range_in_the_scan(spark, name):
+    plan = physical(QUERIES[name](spark, SMALL))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)
+
+
 @needs_data
 def test_top_k_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in physical(QUERIES["con12_top_k_per_group"](spark, SMALL))
@@ -85,7 +92,7 @@ def plain(value):
 
 
 @needs_data
-@pytest.mark.parametrize("name", [n for n in sorted(ORACLES) if n[:3] in ("cln", "pnl", "grw", "rsk", "fig")])
+@pytest.mark.parametrize("name", [n for n in sorted(ORACLES) if n[:3] in ("cln", "pnl", "grw", "rsk", "fig", "src", "snk", "scn", "idx")])
 def test_query_matches_its_sql(spark, name):
     db = duckdb.connect()
     for file in os.listdir(SMALL):

@@ -29,6 +29,41 @@ def test_quarantine(spark, tmp_path):
     assert good.count() == 3 and bad.count() == 3
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('note,extra,name,n\n"two\nlines, ""q"" \x01",9,x, 1.5\n')
+    rows = read_indicator_csv(spark, str(tmp_path / "a.csv"), SCHEMA).collect()
+    assert [tuple(r) for r in rows] == [("x", 1.5, 'two\nlines, "q" \x01')]
+    (tmp_path / "b.csv").write_text("name,note\nx,y\n")
+    with pytest.raises(ColumnsMissing, match="n among"):
+        read_indicator_csv(spark, str(tmp_path / "b.csv"), SCHEMA)
+
+
+@pytest.mark.parametrize("line", ["a,1,x,EXTRA", "a,abc,x", "a,1"])
+def test_csv_loses_nothing_silently(spark, tmp_path, line):
+    (tmp_path / "a.csv").write_text(f"name,n,note\n{line}\n")
+    with pytest.raises(Exception, match="malformed record"):
+        read_indicator_csv(spark, str(tmp_path / "a.csv"), SCHEMA).collect()
+
+
+def test_quarantine_keeps_whole_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,n,note\na,1,x\x01,extra,fields\nb,2,y\x01z\nc,3,"p\nq"\n')
+    good, bad = read_with_quarantine(spark, str(tmp_path), SCHEMA)
+    assert [r.corrupt_line for r in bad.collect()] == ["a,1,x\x01,extra,fields"]
+    assert sorted(tuple(r) for r in good.collect()) == [("b", 2.0, "y\x01z"), ("c", 3.0, "p\nq")]
+
+
+def test_a_dominant_period_takes_many_tasks(spark, tmp_path):
+    path, size = str(tmp_path / "big"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = spark.range(0, 400000, 1, 64).selectExpr("2024 AS period", "id", "uuid() AS text")
+    spark.conf.set(size, "64k")
+    try:
+        write_table(rows, path, partition_by=["period"])
+    finally:
+        spark.conf.unset(size)
+    assert len(list((tmp_path / "big" / "period=2024").glob("*.parquet"))) > 32
+    assert spark.read.parquet(path).count() == 400000
+
+
 def test_clean_names(spark):
     df = spark.createDataFrame([(1, 2, 3, 4, 5)], ["Año", "Variación %", "valorTotal", "2024", "año"])
     assert clean_names(df).columns == ["ano", "variacion_percent", "valor_total", "x2024", "ano_2"]
@@ -57,7 +92,7 @@ def test_standardize_long(spark):
 
 def test_write_and_read_back(spark, tmp_path, long_df):
     path = str(tmp_path / "long")
-    write_table(long_df, path, partition_by=["period"], files_per_partition=2)
+    write_table(long_df, path, partition_by=["period"])
     back = spark.read.parquet(path)
     assert back.filter("period = 2024").count() == 4 and back.count() == 32
     write_table(long_df.select("category", "indicator", "value"), str(tmp_path / "csv"), fmt="csv", order_by=["indicator"])
