@@ -44,7 +44,8 @@ def _mass() -> Column:
 
 def _gini() -> Column:
     """From the ascending places of each value's rows: 2·Σ place·x / (n·Σx) − (n+1)/n."""
-    rows, last = F.col("rows"), F.col("group_rows") - F.col("above_rows")
+    # In doubles: rows times places exceeds a bigint from some billions of equal rows on.
+    rows, last = F.col("rows").cast("double"), (F.col("group_rows") - F.col("above_rows")).cast("double")
     places = rows * last - rows * (rows - 1) / 2
     weighted = F.sum(F.col("x") * places)
     return F.when(_mass() <= 0, F.lit(0.0)).otherwise(2 * weighted / (_n() * _mass()) - (_n() + 1) / _n())

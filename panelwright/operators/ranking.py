@@ -32,10 +32,6 @@ FINE_BITS, COARSE_BITS = 12, 22
 ZERO_CELL = -(2**40)
 # Fine cells with this many values are taken apart. n values have at most n / 2^20 of them.
 CROWDED_VALUES = 2**20
-# A value with this many rows is joined in parts. n rows have at most n / 2^20 such values,
-# with n / 2^18 parts between them.
-HEAVY_ROWS, PART_ROWS = 2**20, 2**18
-MAX_PARTS = 2**16
 
 _COUNTED = ("rows", "mass", "values")
 
@@ -131,9 +127,8 @@ def _ranks(histogram: DataFrame, grp: list[str]) -> DataFrame:
         .withColumns(_above("coarse", grp))
         .withColumns({"group_rows": F.sum("rows").over(whole), "group_mass": F.sum("mass").over(whole)})
     )
-    crowded = F.broadcast(
-        cells.filter(F.col("values") >= CROWDED_VALUES).select(*grp, "fine", F.lit(True).alias("crowded"))
-    )
+    # How these are joined is left to their size at run time.
+    crowded = cells.filter(F.col("values") >= CROWDED_VALUES).select(*grp, "fine", F.lit(True).alias("crowded"))
     in_cell = [*grp, "fine"]
     fine_slot = F.shiftleft("fine", FINE_BITS)
     uncrowded = cells.join(crowded, in_cell, "left_anti")
@@ -162,28 +157,18 @@ def _keyed(df: DataFrame, groups: Grouping, value: str) -> tuple[DataFrame, list
 def attach_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Put the ranks of its value on every row, as the struct ``ranks``.
 
-    Joining on (group, value) alone would send all rows of a frequent value to one task. The
-    rows of a value with 2^20 rows or more are therefore spread over parts of about 2^18 rows,
-    and its ranks repeated for each part; how many parts a value has is broadcast, for the
-    frequent values only. Rows without a value are spread as well.
+    Rows join on (group, value). A frequent value makes one large partition, which adaptive
+    execution splits by the map tasks it comes from, so equal rows are split as well. Rows without
+    a value have no ranks and are not joined.
     """
     groups = Grouping(df, by)
-    histogram = value_histogram(df, groups, value)
-    parts = F.least(F.ceil(F.col("rows") / PART_ROWS), F.lit(MAX_PARTS)).cast("int")
-    is_heavy = F.col("rows") >= HEAVY_ROWS
-    same_value = [*groups.names, F.col("x").alias("_x")]
-    heavy = histogram.filter(is_heavy).select(*same_value, parts.alias("_parts"))
-
+    ranks = _ranks(value_histogram(df, groups, value), groups.names)
+    found = F.struct(*[c for c in ranks.columns if c not in groups.names]).alias("ranks")
+    facts = ranks.select(*groups.names, F.col("x").alias("_x"), found)
     keyed, key = _keyed(df, groups, value)
-    many = F.when(F.col("_x") < 0, F.lit(MAX_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
-    part = F.when(many > 1, F.pmod(F.xxhash64(*df.columns), many).cast("int")).otherwise(F.lit(0))
-    spread = keyed.join(F.broadcast(heavy), key, "left").withColumn("_part", part)
-
-    ranks = _ranks(histogram, groups.names)
-    numbered = F.when(is_heavy, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    found = F.struct(*[c for c in ranks.columns if c not in groups.names])
-    facts = ranks.select(*same_value, F.explode(numbered).alias("_part"), found.alias("ranks"))
-    return spread.join(facts, [*key, "_part"], "left").select(*df.columns, "ranks")
+    joined = keyed.filter("_x >= 0").join(facts, key).select(*df.columns, "ranks")
+    unranked = keyed.filter("_x < 0").select(*df.columns, F.lit(None).cast(joined.schema["ranks"].dataType).alias("ranks"))
+    return joined.unionByName(unranked)
 
 
 def tie_positions(df: DataFrame, by: Sequence[str], value: str, keys: Sequence[str]) -> DataFrame:

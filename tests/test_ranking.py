@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from panelwright.operators import concentration as con, ranking, shares
@@ -85,11 +86,44 @@ def test_invariants(spark, values):
     check_indices(spark, {"g": values}, 3)
 
 
-@pytest.mark.parametrize("heavy, part", [(2**20, 2**18), (4, 3)])
-def test_ranks_of_rows(spark, monkeypatch, heavy, part):
-    """Also with so low a bound that frequent values are joined in parts."""
-    monkeypatch.setattr(ranking, "HEAVY_ROWS", heavy)
-    monkeypatch.setattr(ranking, "PART_ROWS", part)
+@pytest.fixture
+def low_skew_bounds(spark):
+    """Bounds at which adaptive execution splits even the partitions of these small tables."""
+    bounds = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {name: spark.conf.get(name, None) for name in bounds}
+    for name, value in bounds.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_equal_rows_are_split(spark, low_skew_bounds):
+    """A table of equal rows and a few others: the join of the ranks is split."""
+    x = F.when(F.col("id") % 400 == 0, F.col("id")).otherwise(7).cast("double")
+    rows = spark.range(0, 40000, 1, 8).select(F.lit("g").alias("g"), x.alias("x"))
+    ranked = ranking.attach_ranks(rows, ["g"], "x")
+    assert ranked.count() == 40000
+    ranked = ranking.attach_ranks(rows, ["g"], "x").groupBy("ranks").count()
+    ranked.collect()
+    assert "skew=true" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gini_of_very_large_groups(spark):
+    """Counts of 10^11 rows, as a histogram would have them: half of the rows 1, half 3."""
+    half = 10**11
+    rows = [(1.0, half, 2 * half, 4.0 * half, half, 3.0 * half, 1), (3.0, half, 2 * half, 4.0 * half, 0, 0.0, 0)]
+    ranks = spark.createDataFrame(
+        rows, "x double, rows bigint, group_rows bigint, group_mass double, above_rows bigint, above_mass double, above_values bigint")
+    assert same(ranks.agg(con._gini().alias("gini")).first().gini, 0.25)
+
+
+def test_ranks_of_rows(spark):
     groups = skewed(random.Random(3))
     df = frame(spark, groups)
     dense = {r.k: r for r in shares.market_shares(df, ["g"], "x").collect()}
