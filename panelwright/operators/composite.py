@@ -208,6 +208,19 @@ def cluster_indicators(
     return model.transform(vectors).select(*df.columns, (F.col("cluster") + 1).alias("cluster"))
 
 
+def assign_clusters(
+    df: DataFrame, centres: Sequence[Sequence[float]], columns: Sequence[str], cluster: str = "cluster"
+) -> DataFrame:
+    """Label 1..k of the nearest of the given centres, NULL taken as zero; a tie goes to the lower label."""
+    near = [
+        F.struct(
+            sum((F.pow(F.coalesce(F.col(c), F.lit(0.0)) - F.lit(float(x)), 2) for c, x in zip(columns, centre)), F.lit(0.0)).alias("d"),
+            F.lit(label).alias("label"))
+        for label, centre in enumerate(centres, 1)
+    ]
+    return df.withColumn(cluster, F.array_min(F.array(*near))["label"])
+
+
 def cluster_profiles(
     df: DataFrame, means: Mapping[str, str], cluster: str = "cluster"
 ) -> DataFrame:

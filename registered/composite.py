@@ -174,6 +174,19 @@ def clusters(spark, sf_dir):
     return rounded(composite.cluster_indicators(table, ["entity"], list(composite.COMPONENTS)))
 
 
+CENTRES = [[0.0] * 4, [0.5, 0.0, 0.0, 0.0], [0.0, 0.0, 0.001, 0.0], [0.0, 0.0, 0.0, 0.001], [0.25, 0.001, 0.0005, 0.5]]
+_DISTANCES = [" + ".join(f"power(coalesce({c}, 0) - {x!r}, 2)" for c, x in zip(composite.COMPONENTS, centre)) for centre in CENTRES]
+
+
+@query("idx15b_assign_clusters", sql("composite", f"""
+SELECT entity, CAST(list_position(d, list_min(d)) AS INTEGER) AS cluster
+FROM (SELECT entity, [{', '.join(_DISTANCES)}] AS d FROM composite)"""))
+def assigned(spark, sf_dir):
+    """The nearest of given centres; the fit itself has no SQL."""
+    table = index_table(spark, sf_dir).select("entity", *composite.COMPONENTS)
+    return composite.assign_clusters(table, CENTRES, list(composite.COMPONENTS)).select("entity", "cluster")
+
+
 MEANS = {"avg_index": "composite", "share_control": "is_control", "share_innov": "is_innov",
          "share_dispute": "is_dispute", "avg_shock": "component_shock", "avg_growth": "growth_share",
          "avg_stock": "stock_share"}
