@@ -44,8 +44,9 @@ TEXTS = [
     None, "", "a@b.c_d@e.f x@y", "a.b+c@x-y.z.example.com.", "..@a.b @a.b a@.b", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255",
     "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111x", "+1 (555) 555-7209 +12 3 +123456789 +1 2 3 4 5 6 7 8 9 ()",
     "é梦\U0001f680 mail a@b.de and 10.0.0.1,+49 30 1234567", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1", "9" * 5000,
-    "a" * 200000, "a@" * 50000, "1." * 60000, "+1" * 50000, "a.b@c" + ".d" * 50000, "x 4111111111111111 y " * 300,
+    "a" * 2000, "a@" * 1000, "1." * 2000, "+1" * 1000, "a.b@c" + ".d" * 2000, "x 4111111111111111 y " * 300,
 ]
+LONG = ["a" * 200000, "a@" * 50000, "1." * 60000, "+1" * 50000, "a.b@c" + ".d" * 50000, "9 " * 100000]
 
 
 def test_rows(docs_of):
@@ -55,6 +56,13 @@ def test_rows(docs_of):
     assert [r.spans for r in pii.personal_data(docs_of([(1, "nothing here")])).collect()] == [""]
 
 
+def test_very_long_texts(docs_of):
+    """Too long for the plain expressions, which take the square of a run's length."""
+    got = {r.doc_id: r for r in pii.personal_data(docs_of(list(enumerate(LONG)))).collect()}
+    assert [got[i].spans == "" for i in range(6)] == [True, True, False, True, False, True]
+    assert got[2].n_ip == 15000 and got[4].spans == f"email:0:{5 + 2 * 50000}"
+
+
 def test_query_matches_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
