@@ -41,28 +41,46 @@ def piece_lengths(tokens: int, window: int = WINDOW, piece: int = PIECE) -> list
 
 
 def difference(sizes: Sequence[int], windows: int) -> list[list[int]]:
-    """Karmarkar-Karp over ``windows``: the places of ``sizes`` in each window."""
+    """Karmarkar-Karp over ``windows``: the places of ``sizes`` in each window.
+
+    A window's content is a node: a place, or two nodes put together, noted in ``pairs``; -1 is empty.
+    """
     heap = []
     for place, size in enumerate(sizes):
-        sums = np.zeros(windows, np.int64)
-        sums[0] = size
-        heap.append((-size, place, sums, [[place]] + [[] for _ in range(windows - 1)]))
+        sums, nodes = np.zeros(windows, np.int64), np.full(windows, -1, np.int64)
+        sums[0], nodes[0] = size, place
+        heap.append((-size, place, sums, nodes))
     heapq.heapify(heap)
     if not heap:
         return [[] for _ in range(windows)]
-    count = len(heap)
+    count = node = len(heap)
+    pairs: list[tuple[int, int]] = []
     while len(heap) > 1:
-        _, _, sums, parts = heapq.heappop(heap)
+        _, _, sums, nodes = heapq.heappop(heap)
         _, _, others, more = heapq.heappop(heap)
         # Both are in falling order; opposite ends meet.
-        merged = sums + others[::-1]
-        joined = [a + b if b else a for a, b in zip(parts, reversed(more))]
+        merged, more = sums + others[::-1], more[::-1]
+        joined = np.maximum(nodes, more)
+        both = np.flatnonzero((nodes >= 0) & (more >= 0))
+        if len(both):
+            pairs += zip(nodes[both].tolist(), more[both].tolist())
+            joined[both] = np.arange(node, node + len(both))
+            node += len(both)
         order = np.argsort(-merged, kind="stable")
         merged = merged[order]
         count += 1
-        heapq.heappush(heap, (
-            int(merged[-1] - merged[0]), count, merged - merged[-1], [joined[i] for i in order]))
-    return heap[0][3]
+        heapq.heappush(heap, (int(merged[-1] - merged[0]), count, merged - merged[-1], joined[order]))
+    found = []
+    for top in heap[0][3].tolist():
+        places, stack = [], [top] if top >= 0 else []
+        while stack:
+            at = stack.pop()
+            if at < len(sizes):
+                places.append(at)
+            else:
+                stack += pairs[at - len(sizes)]
+        found.append(places)
+    return found
 
 
 def windows_of(sizes: Sequence[int], capacity: int) -> list[list[int]]:
