@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import exact, language, near, packing, pii
+from panelwright.llm import exact, language, packing, pii, simhash
 from panelwright.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,9 +56,11 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id.
 
-    Near copies share 80 % or more of their five-word shingles.
+    Near copies have fingerprints of three-word shingles that differ in two bits or fewer, or are
+    linked by a chain of such documents. Documents without a word share one fingerprint.
     """
-    return _matching(docs, near.near_copies(docs).filter("kept"))
+    groups = simhash.near_duplicates(docs, words=simhash.WORDS, radius=simhash.RADIUS)
+    return _matching(docs, groups.filter("kept"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ STAGES = [
     ("personal_data", mask_personal_data),
     ("packing", pack_windows),
 ]
-#: The similar shingle sets, the learned span classifier and the tokenizer have no SQL form.
+#: The fingerprints, the learned span classifier and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
