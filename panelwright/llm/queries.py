@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import exact, language, packing, pieces, pii, quality, secrets, simhash, toxicity, wordpiece
+from panelwright.llm import (
+    exact, language, packing, pieces, pii, quality, secrets, simhash, token_files, toxicity, wordpiece,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +82,8 @@ def op9(spark, sf_dir):
 @query("op10_language")
 def op10(spark, sf_dir):
     return language.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_files")
+def op13(spark, sf_dir):
+    return token_files.token_digests(table(spark, sf_dir, "documents"))
