@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import (
-    exact, language, packing, pieces, pii, quality, secrets, simhash, token_files, toxicity, wordpiece,
+    exact, language, packing, pieces, pii, quality, secrets, simhash, token_files, toxicity, whitening,
+    wordpiece,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +85,11 @@ def op10(spark, sf_dir):
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_whitened_embeddings")
+def op11(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_token_files")
 def op13(spark, sf_dir):
     return token_files.token_digests(table(spark, sf_dir, "documents"))
