@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import (
-    exact, language, packing, pieces, pii, quality, secrets, simhash, token_files, toxicity, whitening,
-    wordpiece,
+    exact, language, packing, pieces, pii, quality, secrets, simhash, spelling, token_files, toxicity,
+    whitening, wordpiece,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op11(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query("op13_token_files")
 def op13(spark, sf_dir):
     return token_files.token_digests(table(spark, sf_dir, "documents"))
