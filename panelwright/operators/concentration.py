@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwright import presets
 from panelwright.functions import band
 from panelwright.operators.panel import latest_period
-from panelwright.operators.ranking import Grouping, measure, value_ranks
+from panelwright.operators.ranking import Grouping, group_places, measure, top_k_per_group, top_values, value_ranks
 
 
 def _per_group(df: DataFrame, by: Sequence[str], value: str, *indices: Column) -> DataFrame:
@@ -90,7 +90,12 @@ def effective_n(hhi_column: Column) -> Column:
 
 def gini(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Gini coefficient per group; zero when nothing is positive."""
-    return _per_group(df, by, value, _gini().alias("gini"))
+    groups = Grouping(df, by)
+    n, mass = F.col("rows").cast("double"), F.col("mass")
+    # Places from the smallest up are n + 1 less places from the largest down.
+    ascending = (n + 1) * mass - F.col("placed")
+    index = F.when(mass <= 0, F.lit(0.0)).otherwise(2 * ascending / (n * mass) - (n + 1) / n)
+    return group_places(df, groups, value).select(*groups.restored, index.alias("gini"))
 
 
 def palma(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -101,9 +106,25 @@ def palma(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def concentration_ratios(
     df: DataFrame, by: Sequence[str], value: str, ks: Sequence[int] = (3, 5), ties: str = "dense"
 ) -> DataFrame:
-    """CR-k per group. ``dense``: all rows of the k largest values; ``row``: exactly k rows."""
-    empty = 0.0 if ties == "dense" else None
-    return _per_group(df, by, value, *[_cr(k, ties, empty).alias(f"cr{k}") for k in ks])
+    """CR-k per group. ``dense``: all rows of the k largest values; ``row``: exactly k rows.
+
+    Nothing is ranked beyond the largest k: tasks keep their own k values or rows of each group.
+    """
+    groups, most, x = Grouping(df, by), max(ks), F.col("_x")
+    if ties == "dense":
+        top, empty = top_values(df, by, value, most), 0.0
+        mass = F.col("x") * F.col("rows")
+    else:
+        rows = df.select(*groups.selected(), measure(value).alias("_x")).filter(x.isNotNull())
+        top, empty = top_k_per_group(rows, groups.names, [x.desc()], most), None
+        mass = x
+    largest = top.groupBy(*groups.names).agg(
+        *[F.sum(F.when(F.col("place") <= k, mass)).alias(f"top{k}") for k in ks])
+    totals = df.select(*groups.selected(), measure(value).alias("_x")).groupBy(*groups.names).agg(F.sum("_x").alias("total"))
+    total = F.col("total")
+    return largest.join(totals, groups.names).select(*groups.restored, *[
+        F.when(total > 0, F.col(f"top{k}") / total * 100).otherwise(F.lit(empty).cast("double")).alias(f"cr{k}")
+        for k in ks])
 
 
 def inequality(df: DataFrame, value: str, fractions: Sequence[float]) -> DataFrame:

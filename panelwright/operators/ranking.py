@@ -1,39 +1,36 @@
-"""Exact ranks and running totals inside groups of any size.
-
-A window over a group puts the whole group into one task, and the groups here are few and
-huge (three markets, millions of entities each). The ranks are therefore built in levels
-from a histogram of the values:
-
-* *histogram*: one row per (group, value) with its count. Repeated values, zeros above
-  all, collapse map-side.
-* *cells*: a value's binary logarithm in steps of 2^-28. The cell is a function of the value
-  alone and never decreases with it, so cells are in value order.
-* *fine cells* are 2^12 cells each (65536 per doubling of the value), *coarse cells* 2^10 fine
-  cells (64 per doubling).
-
-Running totals are taken over the coarse cells of a group, over the fine cells of a coarse
-cell, and over the values of a fine cell, and added up. Should values crowd together so that a
-fine cell holds a million of them, that cell is taken apart into its 2^12 cells, none of which
-can hold more than some 2^24 different doubles. So each window sees a bounded part of its
-group. Nothing is sampled, no job runs early, and a lost task can be recomputed on its own
-because no level depends on how rows were partitioned.
+"""Exact ranks and running totals inside groups of any size, by one sort.
+
+A window over a group puts the whole group into one task, and the groups here are few and huge
+(three markets, millions of entities each). The rows are therefore dealt to ranges of (group, value
+from the largest down), and each task walks its own range:
+
+* *local*: places, sums and distinct values counted from the start of the range, for its groups.
+* *parts*: one row per range and group, from which the totals of groups come.
+* *carry*: what earlier ranges hold of the group a range begins with. Only the first group of a range
+  can have begun before, so this is one row per range, and it is added to the rows of that group.
+
+The rows are shuffled once, sorted once and, where the carry goes back to them, written once into the
+shared folder; a lost task is repeated from there. Ranges follow the data: Spark samples the keys, and a
+value that holds most rows is either collapsed before the shuffle, where only its count matters, or
+spread over many ranges by what else the rows hold. The count of ranges is that of shuffle
+partitions. Running totals are the one step that needs Python: Arrow batches in order, with a few
+numbers kept from one to the next.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelwright.functions import is_finite
+from panelwright.sources import written
 
-CELLS_PER_DOUBLING = 2**28
-FINE_BITS, COARSE_BITS = 12, 22
-ZERO_CELL = -(2**40)
-# Fine cells with this many values are taken apart. n values have at most n / 2^20 of them.
-CROWDED_VALUES = 2**20
+#: Arrow batches a task puts together before it collapses equal values.
+COMBINED_BATCHES = 32
 
-_COUNTED = ("rows", "mass", "values")
+_LOCAL = [("_above_rows", T.LongType()), ("_above_values", T.LongType()), ("_end_rows", T.LongType()),
+          ("_end_mass", T.DoubleType()), ("_first", T.BooleanType())]
 
 
 def measure(value: str) -> Column:
@@ -70,125 +67,211 @@ def _filler(kind: T.DataType) -> Column:
     return F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)
 
 
-def value_histogram(df: DataFrame, groups: Grouping, value: str) -> DataFrame:
-    """One row per (group, distinct value) with its number of rows and its cells.
+def _combine(keys: list[str], batches_held: int) -> Callable:
+    """Collapse equal (group, value) rows of a few batches into one with its count, before any shuffle."""
+    def run(batches):
+        import pyarrow as pa
 
-    Every column is declared not NULL. Joins on them then add no null filters, which would
-    differ from branch to branch and keep Spark from sharing this aggregation's shuffle.
-    """
-    x = F.greatest(F.col(value).cast("double"), F.lit(0.0))
-    return (
-        df.filter(is_finite(value))
-        .select(*groups.selected(), F.coalesce(x, F.lit(0.0)).alias("x"))
-        .groupBy(*groups.names, "x")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("cell", F.coalesce(F.floor(F.log2("x") * CELLS_PER_DOUBLING), F.lit(ZERO_CELL)))
-        .withColumns({
-            "fine": F.shiftright("cell", FINE_BITS),
-            "coarse": F.shiftright("cell", COARSE_BITS),
-            "mass": F.col("rows") * F.col("x"),
-            "values": F.lit(1).cast("bigint"),
-        })
-    )
+        def collapsed(held):
+            table = pa.Table.from_batches(held).group_by(keys).aggregate([([], "count_all")])
+            yield from table.select([*keys, "count_all"]).rename_columns([*keys, "rows"]).to_batches()
 
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if len(held) == batches_held:
+                yield from collapsed(held)
+                held = []
+        if held:
+            yield from collapsed(held)
 
-def _above(order: str, within: Sequence[str]) -> dict[str, Column]:
-    before = (
-        Window.partitionBy(*within).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return {f"above_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in _COUNTED}
+    return run
 
 
-def _added(left: str, right: str) -> list[Column]:
-    return [(F.col(f"{left}.above_{c}") + F.col(f"{right}.above_{c}")).alias(f"above_{c}") for c in _COUNTED]
+def value_counts(df: DataFrame, groups: Grouping, value: str) -> DataFrame:
+    """(group, _x, rows): values and how often they occur, collapsed within tasks but not across them."""
+    x = F.greatest(F.col(value).cast("double"), F.lit(0.0))
+    rows = df.filter(is_finite(value)).select(*groups.selected(), (x + F.lit(0.0)).alias("_x"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("rows", T.LongType())])
+    return rows.mapInArrow(_combine(rows.columns, COMBINED_BATCHES), schema)
+
+
+def _walk(grp: list[str], weight: str | None) -> Callable:
+    """Places and sums of sorted rows within their task, group by group."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        group, last_x, ordinal = None, None, 0
+        rows, values, mass, above = 0, 0, 0.0, (0, 0)
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            x = batch.column("_x").to_numpy(zero_copy_only=False)
+            known = ~np.isnan(x)
+            w = np.where(known, batch.column(weight).to_numpy() if weight else 1, 0).astype(np.int64)
+            wx = w * np.where(known, x, 0.0)
+            changed = np.zeros(size, bool)
+            for name in grp:
+                column = batch.column(name)
+                differ = pc.not_equal(column.slice(1), column.slice(0, size - 1)).to_numpy(zero_copy_only=False)
+                if pa.types.is_floating(column.type):
+                    nan = np.isnan(column.to_numpy())
+                    differ = differ & ~(nan[1:] & nan[:-1])
+                changed[1:] |= differ
+            here = [batch.column(name)[0].as_py() for name in grp]
+            changed[0] = group is None or any(a != b and (a == a or b == b) for a, b in zip(here, group))
+            starts, segment = np.flatnonzero(changed), np.cumsum(changed)
+            fresh = changed.copy()
+            fresh[1:] |= x[1:] != x[:-1]
+            fresh[0] |= x[0] != last_x
+            fresh &= known
+
+            def running(steps, carried):
+                total = np.cumsum(steps)
+                return total - np.concatenate(([-carried], (total - steps)[starts]))[segment]
+
+            end_rows, end_values = running(w, rows), running(fresh.astype(np.int64), values)
+            # Sums are taken group by group, so that a small group does not follow a large one's rounding.
+            end_mass, edges = np.empty(size), [*([] if changed[0] else [0]), *starts.tolist(), size]
+            for begin, end in zip(edges, edges[1:]):
+                np.cumsum(wx[begin:end], out=end_mass[begin:end])
+            if not changed[0]:
+                end_mass[:edges[1]] += mass
+            run_of, at = np.cumsum(fresh), np.flatnonzero(fresh)
+            above_rows = np.concatenate(([above[0]], (end_rows - w)[at]))[run_of]
+            above_values = np.concatenate(([above[1]], (end_values - 1)[at]))[run_of]
+            first = ordinal + segment == 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(above_rows), pa.array(above_values), pa.array(end_rows), pa.array(end_mass),
+                 pa.array(first)],
+                [*batch.schema.names, "_above_rows", "_above_values", "_end_rows", "_end_mass", "_first"])
+            group, last_x = [batch.column(name)[size - 1].as_py() for name in grp], x[-1]
+            rows, values, mass = int(end_rows[-1]), int(end_values[-1]), float(end_mass[-1])
+            above, ordinal = (int(above_rows[-1]), int(above_values[-1])), ordinal + int(segment[-1])
+
+    return run
+
+
+def _ranged(rows: DataFrame, grp: list[str], ties: Sequence[Column], weight: str | None) -> DataFrame:
+    """``rows`` (group, _x, ...) in ranges, with ``_part``, the number of the range, and local totals."""
+    keys = [*[F.col(c) for c in grp], F.col("_x").desc_nulls_last(), *ties]
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*ordered.schema.fields, *[T.StructField(name, kind) for name, kind in _LOCAL]])
+    return ordered.mapInArrow(_walk(grp, weight), schema)
+
+
+def _parts(local: DataFrame, grp: list[str], *sums: Column) -> DataFrame:
+    """One row per range and group with what earlier ranges hold of the group."""
+    parts = local.filter(F.col("_x").isNotNull()).groupBy("_part", *grp).agg(
+        F.max("_end_rows").alias("rows"), F.max("_end_mass").alias("mass"), (F.max("_above_values") + 1).alias("values"),
+        F.max("_x").alias("top"), F.min("_x").alias("last"), F.max("_above_rows").alias("above_last"),
+        F.bool_or("_first").alias("first"), *sums)
+    ordered = Window.partitionBy(*grp).orderBy("_part")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(c: Column) -> Column:
+        return F.coalesce(F.sum(c).over(earlier), F.lit(0))
+
+    goes_on = F.coalesce(F.lag("last").over(ordered) == F.col("top"), F.lit(False))
+    tied = F.sum(F.col("rows") - F.col("above_last")).over(Window.partitionBy(*grp, "last").orderBy("_part"))
+    marked = parts.withColumns({"goes_on": goes_on, "tied": tied})
+    return marked.withColumns({
+        "rows_before": before(F.col("rows")),
+        "mass_before": before(F.col("mass")),
+        "values_before": before(F.col("values") - F.col("goes_on").cast("int")),
+        "tied_before": F.when(F.col("goes_on"), F.lag("tied").over(ordered)).otherwise(F.lit(0)),
+    })
+
+
+def _global(local: DataFrame, grp: list[str]) -> DataFrame:
+    """Local totals with the carry added, and ``group_rows`` and ``group_mass``.
+
+    The local totals are written once and read twice: Spark draws the borders of ranges anew whenever it
+    plans them, so totals and rows from two plans would not fit together.
+    """
+    local = written(local, "ranges")
+    parts = _parts(local, grp)
+    totals = parts.groupBy(*grp).agg(F.sum("rows").alias("group_rows"), F.sum("mass").alias("group_mass"))
+    # One row per range at most.
+    carry = parts.filter("first").select(
+        "_part", "top", "rows_before", "mass_before", "tied_before",
+        (F.col("values_before") - F.col("goes_on").cast("int")).alias("values_before"))
+    joined = local.join(F.broadcast(carry), "_part", "left")
+
+    def carried(c: str) -> Column:
+        return F.when(F.col("_first"), F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0))
+
+    tied = F.when(F.col("_x") == F.col("top"), carried("tied_before")).otherwise(F.lit(0))
+    placed = joined.withColumns({
+        "_above_rows": F.col("_above_rows") + carried("rows_before") - tied,
+        "_above_values": F.col("_above_values") + carried("values_before"),
+        "_end_rows": F.col("_end_rows") + carried("rows_before"),
+        "_end_mass": F.col("_end_mass") + carried("mass_before"),
+    })
+    return placed.drop("_part", "_first", *[c for c in carry.columns if c != "_part"]).join(totals, grp, "left")
 
 
 def value_ranks(df: DataFrame, groups: Grouping, value: str) -> DataFrame:
-    """One row per (group, distinct value), under the names of ``groups``.
+    """Values of each group with their places, under the names of ``groups``.
+
+    ``x`` the value, ``rows`` how many rows of it, ``above_rows`` the rows placed before them,
+    ``above_values`` the distinct values greater than it, and ``group_rows`` / ``group_mass`` of the
+    whole group. A value may come in several rows, which follow each other in their places. NULL and
+    non-finite values do not take part; negative ones count as zero.
+    """
+    ranks = _global(_ranged(value_counts(df, groups, value), groups.names, [], "rows"), groups.names)
+    return ranks.select(
+        *groups.names, F.col("_x").alias("x"), "rows", (F.col("_end_rows") - F.col("rows")).alias("above_rows"),
+        F.col("_above_values").alias("above_values"), "group_rows", "group_mass")
 
-    ``x`` the value, ``rows`` how often it occurs, ``above_rows`` / ``above_mass`` /
-    ``above_values`` the rows, sum and distinct values greater than it in its group, and
-    ``group_rows`` / ``group_mass`` of the whole group. NULL and non-finite values do not
-    take part; negative ones count as zero.
+
+def group_places(df: DataFrame, groups: Grouping, value: str) -> DataFrame:
+    """Per group ``rows``, ``mass`` and ``placed``, the sum of place times value from the largest down.
+
+    Only sums of ranges are needed, so nothing is joined to rows. In doubles: rows times places exceeds
+    a bigint from some billions of equal rows on.
     """
-    return _ranks(value_histogram(df, groups, value), groups.names)
-
-
-def _ranks(histogram: DataFrame, grp: list[str]) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in _COUNTED]
-    # Always true; it makes every user of the cells need all sums, so that their shuffle,
-    # like that of the histogram, is the same everywhere and runs once.
-    cells = histogram.groupBy(*grp, "coarse", "fine").agg(*sums).filter(
-        (F.col("rows") > 0) & (F.col("mass") >= 0) & (F.col("values") > 0)
-    )
-    whole = Window.partitionBy(*grp)
-    coarse = (
-        cells.groupBy(*grp, "coarse").agg(*sums)
-        .withColumns(_above("coarse", grp))
-        .withColumns({"group_rows": F.sum("rows").over(whole), "group_mass": F.sum("mass").over(whole)})
-    )
-    # How these are joined is left to their size at run time.
-    crowded = cells.filter(F.col("values") >= CROWDED_VALUES).select(*grp, "fine", F.lit(True).alias("crowded"))
-    in_cell = [*grp, "fine"]
-    fine_slot = F.shiftleft("fine", FINE_BITS)
-    uncrowded = cells.join(crowded, in_cell, "left_anti")
-    apart = histogram.join(crowded, in_cell).groupBy(*grp, "coarse", F.col("cell").alias("slot")).agg(*sums)
-    slots = uncrowded.select(*grp, "coarse", fine_slot.alias("slot"), *_COUNTED).unionByName(apart)
-    starts = (
-        slots.withColumns(_above("slot", [*grp, "coarse"])).alias("s")
-        .join(coarse.alias("c"), [*grp, "coarse"])
-        .select(*grp, "slot", "c.group_rows", "c.group_mass", *_added("s", "c"))
-    )
-    slot = F.when(F.col("crowded").isNotNull(), F.col("cell")).otherwise(fine_slot)
-    values = histogram.join(crowded, in_cell, "left").withColumn("slot", slot)
-    return (
-        values.withColumns(_above("x", [*grp, "slot"])).alias("v")
-        .join(starts.alias("s"), [*grp, "slot"])
-        .select(*grp, "x", "rows", "group_rows", "group_mass", *_added("v", "s"))
-    )
-
-
-def _keyed(df: DataFrame, groups: Grouping, value: str) -> tuple[DataFrame, list[str]]:
-    """Rows with their group and value as join columns; -1 stands for no value."""
-    keyed = df.withColumns({**groups.columns, "_x": F.coalesce(measure(value), F.lit(-1.0))})
-    return keyed, [*groups.names, "_x"]
-
-
-def attach_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Put the ranks of its value on every row, as the struct ``ranks``.
-
-    Rows join on (group, value). A frequent value makes one large partition, which adaptive
-    execution splits by the map tasks it comes from, so equal rows are split as well. Rows without
-    a value have no ranks and are not joined.
+    local = _ranged(value_counts(df, groups, value), groups.names, [], "rows")
+    n, end = F.col("rows").cast("double"), F.col("_end_rows").cast("double")
+    parts = _parts(local, groups.names, F.sum(F.col("_x") * (n * end - n * (n - 1) / 2)).alias("placed"))
+    return parts.groupBy(*groups.names).agg(
+        F.sum("rows").alias("rows"), F.sum("mass").alias("mass"),
+        F.sum(F.col("rows_before") * F.col("mass") + F.col("placed")).alias("placed"))
+
+
+def attach_ranks(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[Column] = ()) -> DataFrame:
+    """Put the ranks of its value on every row, as the struct ``ranks``; it is NULL without a value.
+
+    ``x`` the value, ``above_rows`` and ``above_values`` the rows and distinct values greater than it,
+    ``running_mass`` the sum from the largest row down to this one, and ``group_rows`` / ``group_mass``.
+    Rows of equal value follow each other in the order of ``ties``, else by a hash of the whole row,
+    which also spreads a frequent value over ranges.
     """
     groups = Grouping(df, by)
-    ranks = _ranks(value_histogram(df, groups, value), groups.names)
-    found = F.struct(*[c for c in ranks.columns if c not in groups.names]).alias("ranks")
-    facts = ranks.select(*groups.names, F.col("x").alias("_x"), found)
-    keyed, key = _keyed(df, groups, value)
-    joined = keyed.filter("_x >= 0").join(facts, key).select(*df.columns, "ranks")
-    unranked = keyed.filter("_x < 0").select(*df.columns, F.lit(None).cast(joined.schema["ranks"].dataType).alias("ranks"))
-    return joined.unionByName(unranked)
+    ties = list(ties) or [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    named = [f"_tie{i}" for i in range(len(ties))]
+    keyed = df.withColumns({**groups.columns, "_x": measure(value), **dict(zip(named, ties))})
+    ranked = _global(_ranged(keyed, groups.names, [F.col(c) for c in named], None), groups.names)
+    found = F.struct(
+        F.col("_x").alias("x"), F.col("_above_rows").alias("above_rows"), F.col("_above_values").alias("above_values"),
+        F.col("_end_mass").alias("running_mass"), "group_rows", "group_mass")
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.col("_x").isNotNull(), found).alias("ranks"))
 
 
-def tie_positions(df: DataFrame, by: Sequence[str], value: str, keys: Sequence[str]) -> DataFrame:
-    """Number the rows of equal value inside a group, 1, 2, ..., as ``tie``.
+def top_values(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFrame:
+    """The ``k`` largest distinct values of each group: names of the group, ``x``, ``rows`` and ``place``.
 
-    Rows are numbered in the order of an MD5 of their keys. Its first three digits make 4096
-    even slices, so the rows of one frequent value are numbered slice by slice.
+    A task collapses equal values and keeps ``k`` distinct ones of each group, so what is shuffled
+    does not follow the rows, not even when most rows share the largest value.
     """
-    keyed, key = _keyed(df, Grouping(df, by), value)
-    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-    marked = keyed.withColumn("_digest", digest).withColumn("_slice", F.substring("_digest", 1, 3))
-    slices = marked.groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select(*key, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*key, "_slice").orderBy("_digest", *keys)
-    return (
-        marked.withColumn("_place", F.row_number().over(inside))
-        .join(starts, [*key, "_slice"])
-        .select(*df.columns, (F.col("_start") + F.col("_place")).alias("tie"))
-    )
+    groups = Grouping(df, by)
+    place = F.dense_rank().over(Window.partitionBy(*groups.names).orderBy(F.col("_x").desc()))
+    top = value_counts(df, groups, value).withColumn("place", place).filter(F.col("place") <= k)
+    return top.groupBy(*groups.names, "place").agg(F.max("_x").alias("x"), F.sum("rows").alias("rows"))
 
 
 def top_k_per_group(df: DataFrame, by: Sequence[str], order_by: Sequence[Column], k: int = 10) -> DataFrame:

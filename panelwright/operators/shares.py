@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwright import presets
 from panelwright.functions import band, clip_nonneg, finite_or_null, share
 from panelwright.operators.panel import latest_period
-from panelwright.operators.ranking import attach_ranks, tie_positions, top_k_per_group
+from panelwright.operators.ranking import Grouping, attach_ranks, measure, top_k_per_group, value_ranks
 
 INDICATOR_MARKETS = ("stock_base", "stock_current", "growth_pos")
 ACTOR_MARKETS = ("total", "armed", "support")
@@ -63,15 +63,37 @@ def market_shares(df: DataFrame, by: Sequence[str], value: str = "capacity", tie
     )
 
 
+def plain_shares(df: DataFrame, by: Sequence[str], value: str = "capacity") -> DataFrame:
+    """Total and share of every row inside its market, without ranks: totals are summed and joined back."""
+    groups = Grouping(df, by)
+    totals = df.select(*groups.selected(), measure(value).alias("_x")).groupBy(*groups.names).agg(
+        F.sum("_x").alias("total_market"))
+    return df.withColumns(groups.columns).join(totals, groups.names).select(
+        *df.columns, "total_market", share(measure(value), F.col("total_market")).alias("share"))
+
+
+def bucket_totals(df: DataFrame, by: Sequence[str], value: str = "capacity", ties: str = "dense") -> DataFrame:
+    """Rows ``n`` and sum of ``value`` of each bucket of each market, from the ranks of values alone."""
+    groups = Grouping(df, by)
+    rules = presets.SHARE_BUCKETS if ties == "dense" else presets.ACTOR_SHARE_BUCKETS
+    rank = F.col("above_values") + 1 if ties == "dense" else F.col("least_rank")
+    ranks = value_ranks(df, groups, value)
+    if ties != "dense":
+        ranks = ranks.withColumn("least_rank", F.min("above_rows").over(Window.partitionBy(*groups.names, "x")) + 1)
+    counted = ranks.groupBy(*groups.names, share_bucket(rank, rules).alias("bucket")).agg(
+        F.sum("rows").alias("n"), F.sum(F.col("x") * F.col("rows")).alias(value))
+    return counted.select(*groups.restored, "bucket", "n", value)
+
+
 def cumulative_shares(df: DataFrame, by: Sequence[str], value: str, keys: Sequence[str]) -> DataFrame:
     """Running share of the market from the largest row down, as ``cum_share``.
 
     Rows of equal value follow each other in the order of an MD5 of their keys.
     """
-    ranked = tie_positions(attach_ranks(df, by, value), by, value, keys)
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    ranked = attach_ranks(df, by, value, [digest, *[F.col(k) for k in keys]])
     r = F.col("ranks")
-    running = r["above_mass"] + F.col("tie") * r["x"]
-    return ranked.withColumn("cum_share", share(running, r["group_mass"])).drop("ranks", "tie")
+    return ranked.withColumn("cum_share", share(r["running_mass"], r["group_mass"])).drop("ranks")
 
 
 def top_by_market(measures: DataFrame, keys: Sequence[str], markets: Sequence[str], k: int = 10) -> DataFrame:

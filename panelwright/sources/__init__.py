@@ -6,9 +6,10 @@ from panelwright.sources.files import (
     read_with_quarantine,
     scratch_path,
     write_table,
+    written,
 )
 
 __all__ = [
     "ColumnsMissing", "LONG_SCHEMA", "clean_names", "durable", "read_indicator_csv", "read_with_quarantine",
-    "resolve_columns", "scratch_path", "standardize_long", "validate_schema", "write_table",
+    "resolve_columns", "scratch_path", "standardize_long", "validate_schema", "write_table", "written",
 ]

@@ -146,3 +146,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, for a table several models read."""
     _checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the checkpoint folder and read it back: later plans read their columns only."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

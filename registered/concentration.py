@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelwright.operators import concentration as con, shares
+from panelwright.operators.panel import latest_period
 from panelwright.operators.ranking import top_k_per_group
 from registered.base import (
     BASE, CURRENT, PERIODS, cte, customer_panel, nation_long, order_values, query, rounded, ship_years, sql,
@@ -110,8 +111,7 @@ def actor_shares(spark, sf_dir):
 SELECT market, {BUCKET} AS bucket, CAST(count(*) AS BIGINT) AS n, sum(capacity) AS capacity
 FROM customer_ranked GROUP BY 1, 2"""))
 def buckets(spark, sf_dir):
-    table = shares.market_shares(customer_markets(spark, sf_dir), ["market"])
-    return table.groupBy("market", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("capacity").alias("capacity"))
+    return shares.bucket_totals(customer_markets(spark, sf_dir), ["market"])
 
 
 @query("con04_gini", sql("customer_sorted", f"""
@@ -325,7 +325,8 @@ SELECT actor, market, round(share_base, 12) AS share_base, round(share_current,
        CASE WHEN share_current > share_base THEN 'Gained' WHEN share_current <= share_base THEN 'Lost' END AS change_direction,
        round(abs(share_current - share_base), 12) AS change_magnitude FROM share_pairs"""))
 def evolution(spark, sf_dir):
-    return rounded(shares.share_evolution(supplier_shares(spark, sf_dir, PERIODS), BASE, CURRENT), 12)
+    rows = shares.plain_shares(supplier_markets(spark, sf_dir, PERIODS), ["period", "market"])
+    return rounded(shares.share_evolution(rows, BASE, CURRENT), 12)
 
 
 MOBILITY = """CASE WHEN rank_base - rank_current > 2 THEN 'Significant Improvement'
@@ -361,9 +362,10 @@ SELECT actor, market, capacity, round(share, 12) AS share, rank, is_dominant,
        round(max(share) FILTER (NOT is_dominant) OVER w / nullif(max(share) FILTER (is_dominant) OVER w, 0), 9) AS dominant_gap
 FROM f WINDOW w AS (PARTITION BY market)"""))
 def dominant(spark, sf_dir):
-    rows = shares.dominance(
-        supplier_shares(spark, sf_dir), shares.ACTOR_MARKETS, DOMINANT, seen_in=ship_years(spark, sf_dir)
-    )
+    years = ship_years(spark, sf_dir)
+    last = latest_period(supplier_markets(spark, sf_dir), seen_in=years)
+    ranked = shares.market_shares(last, ["period", "market"], ties="min")
+    rows = shares.dominance(ranked, shares.ACTOR_MARKETS, DOMINANT, seen_in=years)
     return rows.select(
         "actor", "market", "capacity", F.round("share", 12).alias("share"), "rank", "is_dominant",
         F.round("dominant_gap", 9).alias("dominant_gap"),

@@ -69,11 +69,14 @@ def test_indices_match_brute_force(spark):
     check_indices(spark, skewed(random.Random(1)))
 
 
-def test_indices_with_crowded_cells_and_other_partitioning(spark, monkeypatch):
-    """Every fine cell with two values is taken apart; one or many partitions change nothing."""
-    monkeypatch.setattr(ranking, "CROWDED_VALUES", 2)
-    for partitions in (1, 17):
+@pytest.mark.parametrize("partitions, ranges", [(1, 1), (17, 40)])
+def test_any_number_of_ranges(spark, partitions, ranges):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
         check_indices(spark, skewed(random.Random(2)), partitions)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @settings(max_examples=4, deadline=None)
@@ -86,32 +89,68 @@ def test_invariants(spark, values):
     check_indices(spark, {"g": values}, 3)
 
 
-@pytest.fixture
-def low_skew_bounds(spark):
-    """Bounds at which adaptive execution splits even the partitions of these small tables."""
-    bounds = {
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-    }
-    before = {name: spark.conf.get(name, None) for name in bounds}
-    for name, value in bounds.items():
-        spark.conf.set(name, value)
-    yield
-    for name, value in before.items():
-        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-
-
-def test_equal_rows_are_split(spark, low_skew_bounds):
-    """A table of equal rows and a few others: the join of the ranks is split."""
+def test_equal_rows_are_spread(spark):
+    """One value holds nearly all rows: its rows lie in many ranges and are ranked as one value."""
     x = F.when(F.col("id") % 400 == 0, F.col("id")).otherwise(7).cast("double")
-    rows = spark.range(0, 40000, 1, 8).select(F.lit("g").alias("g"), x.alias("x"))
-    ranked = ranking.attach_ranks(rows, ["g"], "x")
-    assert ranked.count() == 40000
-    ranked = ranking.attach_ranks(rows, ["g"], "x").groupBy("ranks").count()
-    ranked.collect()
-    assert "skew=true" in ranked._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(0, 40000, 1, 8).select(F.lit("g").alias("g"), x.alias("x"), "id")
+    ranked = ranking.attach_ranks(rows, ["g"], "x").withColumn("task", F.spark_partition_id())
+    found = ranked.filter("x = 7").agg(
+        F.count(F.lit(1)), F.countDistinct("task"), F.min("ranks.above_rows"), F.max("ranks.above_rows"),
+        F.min("ranks.above_values"), F.max("ranks.above_values"), F.countDistinct("ranks.running_mass")).first()
+    above = sum(i > 7 for i in range(0, 40000, 400))
+    assert tuple(found) == (39900, int(spark.conf.get("spark.sql.shuffle.partitions")), above, above, above, above, 39900)
+
+
+def test_equal_values_collapse_before_the_shuffle(spark):
+    """A million equal values at the cut of the top tenth and of the top three."""
+    x = F.when(F.col("id") < 100, F.col("id") + 10).when(F.col("id") % 4 == 0, 1).otherwise(5).cast("double")
+    rows = spark.range(0, 1_400_000, 1, 8).select(F.lit("g").alias("g"), x.alias("x"))
+    counts = ranking.value_counts(rows, ranking.Grouping(rows, ["g"]), "x")
+    assert counts.count() < 2000
+    values = [float(i + 10) for i in range(100)] + [1.0 if i % 4 == 0 else 5.0 for i in range(100, 1_400_000)]
+    expected = brute(values)
+    assert same(con.palma(rows, ["g"], "x").first().palma, expected["palma"])
+    assert same(con.gini(rows, ["g"], "x").first().gini, expected["gini"])
+    top = con.concentration_ratios(rows.filter("x <= 5"), ["g"], "x", ks=(1, 2)).first()
+    fives = sum(v == 5 for v in values)
+    assert same(top.cr1, 100 * 5 * fives / (5 * fives + sum(v == 1 for v in values))) and same(top.cr2, 100)
+    share = con.top_share(rows, "x", [0.5]).first().top50
+    down = sorted(values, reverse=True)
+    assert same(share, sum(down[:700_000]) / sum(values))
+
+
+def test_rows_are_shuffled_once(spark):
+    def dealt(built):
+        built.collect()
+        plan = built._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" not in plan
+        return plan.count("Exchange rangepartitioning")
+
+    df = spark.range(0, 1000, 1, 4).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("x"), "id")
+    assert dealt(con.gini(df, ["g"], "x")) == 1
+    # Here ranges were dealt when the plan was built, and written.
+    assert dealt(shares.cumulative_shares(df, ["g"], "x", ["id"])) == 0 == dealt(shares.market_shares(df, ["g"], "x"))
+    plan = con.concentration_ratios(df, ["g"], "x")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "WindowGroupLimit" in plan
+
+
+def test_columns_that_are_constant(spark):
+    """A constant column is folded into plans; ranks do not depend on it."""
+    rows = spark.range(0, 3000, 1, 8).select(
+        F.lit("g").alias("g"), F.lit("c").alias("unit"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(0).cast("double").alias("x"), "id")
+    ranked = shares.market_shares(rows, ["g"], "x").drop("unit").filter("x = 0").select("rank").distinct().collect()
+    assert [r["rank"] for r in ranked] == [1000]
+
+
+def test_bucket_totals(spark):
+    df = frame(spark, skewed(random.Random(4)))
+    for ties in ("dense", "min"):
+        want = {(r.g, r.bucket): (r["count"], r["sum(x)"]) for r in shares.market_shares(
+            df.filter("x >= 0 AND x < 1e300"), ["g"], "x", ties).groupBy("g", "bucket").agg(
+                F.count(F.lit(1)).alias("count"), F.sum("x")).collect()}
+        got = {(r.g, r.bucket): (r.n, r.x) for r in shares.bucket_totals(
+            df.filter("x >= 0 AND x < 1e300"), ["g"], "x", ties).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and same(got[k][1], want[k][1]) for k in want)
 
 
 def test_gini_of_very_large_groups(spark):
