@@ -73,7 +73,7 @@ def _combine(keys: list[str], batches_held: int) -> Callable:
         import pyarrow as pa
 
         def collapsed(held):
-            table = pa.Table.from_batches(held).group_by(keys).aggregate([([], "count_all")])
+            table = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([([], "count_all")])
             yield from table.select([*keys, "count_all"]).rename_columns([*keys, "rows"]).to_batches()
 
         held = []
