@@ -4,9 +4,10 @@ A word that training has in its vocabulary adds the logarithm of its frequency i
 unseen word is taken apart into character n-grams, the longest ones of which any is known; their mean
 log frequency stands for the word.
 
-All training rows are counted. The model keeps the most frequent words and n-grams, at most
-``WORDS`` and ``GRAMS`` over all languages, so its size does not follow the corpus; what it leaves
-out backs off to shorter n-grams like any unseen word.
+All training rows are counted. The model keeps the most frequent words and n-grams of each language,
+at most ``WORDS`` and ``GRAMS`` strings over all languages, so its size does not follow the corpus. A
+string it keeps has its true count in every language; what it leaves out backs off to shorter
+n-grams like any unseen word.
 """
 
 from __future__ import annotations
@@ -26,16 +27,23 @@ from panelwright.llm.memo import Memo
 WORDS = 160_000
 GRAMS = 200_000
 LONGEST = 5
+VECTORS_HELD = 60_000  # unseen words whose vectors a task remembers, twice
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
-_COUNTED_AT_ONCE = 400_000
+_COUNTED_AT_ONCE = 250_000
+_RANKED_AT_ONCE = 256  # salts among which strings are ranked before the survivors are
 _WORD = re.compile(r"[^\W\d_]+")
+#: Latin-1 in lower case, with blanks for all that is no letter.
+_LATIN = bytes(ord(c) if _WORD.fullmatch(c) else 0x20 for c in (chr(b).lower() for b in range(256)))
 _SMOOTH = 0.5
 
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters; none if the text has no letter."""
-    found = _WORD.findall(text.lower())
+    try:
+        found = text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        found = _WORD.findall(text.lower())
     if found and not any(map(str.isalpha, found)) and not any(map(str.isalpha, text)):
         return []
     return found
@@ -55,18 +63,25 @@ def _emit(counts: Counter, names: list[str]) -> pa.RecordBatch:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[str, Counter] = {}
+
+    def ready():
+        langs = [lang for lang, words in counts.items() for _ in words]
+        words = [word for words in counts.values() for word in words]
+        ns = [n for words in counts.values() for n in words.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["lang", "word", "n"])
+
     for batch in batches:
         names = batch.schema.names
         langs, texts = (batch.column(names.index(c)).to_pylist() for c in ("lang", "text"))
         for lang, text in zip(langs, texts):
-            for word, n in Counter(words_of(text)).items():
-                counts[lang, word] += n
-            if len(counts) > _COUNTED_AT_ONCE:
-                yield _emit(counts, ["lang", "word", "n"])
-                counts = Counter()
+            counts.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, counts.values())) > _COUNTED_AT_ONCE:
+                yield ready()
+                counts = {}
     if counts:
-        yield _emit(counts, ["lang", "word", "n"])
+        yield ready()
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +101,15 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _most_frequent(counts: DataFrame, key: list[str], by: str, most: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), by))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    """All counts of the strings that are among the ``most`` frequent of any ``key``.
+
+    Strings are ranked within salts first, so that the last ranking of a key sees a bounded number.
+    """
+    salted = counts.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(_RANKED_AT_ONCE)))
+    for within in ([*key, "salt"], key):
+        rank = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("n"), by))
+        salted = salted.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    return counts.join(salted.select(by).distinct(), by, "left_semi")
 
 
 class Model:
@@ -129,7 +151,7 @@ class Model:
         if not found or not self.langs:
             return UNKNOWN, 0.0
         if "vectors" not in self.__dict__:
-            self.vectors = Memo(self.unseen, 150_000)
+            self.vectors = Memo(self.unseen, VECTORS_HELD)
         words, vectors = self.words.get, self.vectors
         total = np.frombuffer(
             b"".join([words(w) or vectors[w] for w in found]), np.float32).reshape(len(found), -1).sum(0, dtype=np.float64)

@@ -4,12 +4,17 @@ import zlib
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from panelwright.llm import language
 from panelwright.llm.queries import QUERIES, table
 
 
-def plain(rows):
+def most(counts, limit):
+    return sorted(counts, key=lambda s: (-counts[s], s))[:limit]
+
+
+def plain(rows, words_kept=10 ** 9, grams_kept=10 ** 9):
     """The same model and prediction, one word at a time. ``rows``: (doc_id, text, lang)."""
     held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
     words, parts = {}, {}
@@ -23,8 +28,9 @@ def plain(rows):
             for k in range(1, 6):
                 for j in range(len(w) + 3 - k):
                     parts.setdefault((lang, k), Counter())[f"_{w}_"[j:j + k]] += n
-    vocabulary = {w for c in words.values() for w in c}
-    gram_set = {g for c in parts.values() for g in c}
+    many = max(1, len(langs))
+    vocabulary = {w for c in words.values() for w in most(c, words_kept // many)}
+    gram_set = {g for c in parts.values() for g in most(c, grams_kept // (5 * many))}
     out = []
     for i, text, _ in rows:
         score = dict.fromkeys(langs, 0.0)
@@ -90,3 +96,22 @@ def test_long_words_back_off_to_shorter_parts():
     model = language.Model(["a", "b"], [("a", "abc", 5)], {"a": 5, "b": 1}, [("b", "xy", 3)], {("b", 2): 3, ("a", 2): 1})
     assert model.predict("abc")[0] == "a" and model.predict("zxyz")[0] == "b"
     assert model.predict("qqq") == ("a", 0.5)
+
+
+def test_small_model_matches_brute_force(spark, monkeypatch):
+    """What the model keeps has its true counts in every language, also where another language chose it."""
+    small = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, small, "documents").collect()]
+    monkeypatch.setattr(language, "WORDS", 400)
+    monkeypatch.setattr(language, "GRAMS", 1000)
+    got = sorted(tuple(r)[:4] for r in QUERIES["op10_language"](spark, small).collect())
+    want = sorted(plain(rows, 400, 1000))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(g[3] == pytest.approx(w[3], abs=1e-3) for g, w in zip(got, want))
+
+
+@given(st.text(st.characters(max_codepoint=0x17F), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_words_of_latin_texts(text):
+    found = re.findall(r"[^\W\d_]+", text.lower())
+    assert language.words_of(text) == (found if any(map(str.isalpha, text)) else [])
