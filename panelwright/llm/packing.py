@@ -7,8 +7,9 @@ largest imbalance are merged again and again, the fullest window of one with the
 other, which leaves windows of nearly equal size. When one exceeds the capacity, the shard takes
 one window more and starts again.
 
-A shard's pieces are a bounded group whatever the ids are: they are dealt by row number, so rows of
-one id, one source or one very long text are spread over all shards.
+Full windows need no packing: each is a sequence of its own, numbered by an expression. Only rests, less
+than a window a document, go to shards, so a shard's pieces are a bounded group whatever the texts are:
+they are dealt by row number, and rows of one id or one source are spread over all shards.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ WINDOW = 2048
 PIECE = 512
 SHARD_WINDOWS = 128
 END_ID = 1
+FULL_WINDOWS = 1 << 62  # sequences of one full window are numbered from here on, those of shards below
 
 _PIECES = "row bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -121,16 +123,12 @@ def _cut(window: int, piece: int, vocabulary: str, with_ids: bool) -> Callable:
 def _assign(window: int) -> Callable:
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["row", "start"], ignore_index=True)
-        full = shard["length"].to_numpy() == window
-        rest = np.flatnonzero(~full)
         lengths = shard["length"].to_numpy()
         own, offset = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
-        groups = windows_of(lengths[rest].tolist(), window) if len(rest) else []
-        for number, group in enumerate(groups):
-            places = rest[np.sort(np.array(group, np.int64))]
+        for number, group in enumerate(windows_of(lengths.tolist(), window)):
+            places = np.sort(np.array(group, np.int64))
             own[places] = number
             offset[places] = np.cumsum(lengths[places]) - lengths[places]
-        own[full] = len(groups) + np.arange(full.sum())
         shard["sequence_id"] = (shard["shard"].to_numpy(np.int64) << 32) + own
         shard["offset"] = offset
         return shard.drop(columns=["shard", "row"])
@@ -153,12 +151,16 @@ def pack(
     numbered = documents(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     schema = _PIECES + ", ids array<int>" * ids
     pieces = stored(numbered.mapInArrow(_cut(window, piece, vocabulary, ids), schema), "pieces")
-    rest = pieces.filter(F.col("length") < window).agg(F.sum("length")).first()[0] or 0
-    shards = max(1, round(rest / (shard_windows * window)))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards)))
+    rests, full = pieces.filter(F.col("length") < window), pieces.filter(F.col("length") == window)
+    tokens = rests.agg(F.sum("length")).first()[0] or 0
+    shards = max(1, round(tokens / (shard_windows * window)))
+    dealt = rests.withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards)))
     out = schema.removeprefix("row bigint, ").replace(", ids array", ", sequence_id bigint, offset bigint, ids array")
     if not ids:
         out += ", sequence_id bigint, offset bigint"
     columns = [c.split()[0] for c in out.split(", ")]
     assign = _assign(window)
-    return dealt.groupBy("shard").applyInPandas(lambda shard: assign(shard)[columns], out)
+    packed = dealt.groupBy("shard").applyInPandas(lambda shard: assign(shard)[columns], out)
+    alone = full.withColumns({
+        "sequence_id": F.monotonically_increasing_id() + F.lit(FULL_WINDOWS), "offset": F.lit(0).cast("bigint")})
+    return packed.unionByName(alone.select(*columns))

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from panelwright.llm import packing
 from panelwright.llm.packing import difference, pack, piece_lengths, windows_of
 from panelwright.llm.word_tokens import VOCABULARY, WordTokens
 
@@ -91,6 +92,19 @@ def test_rows(docs_of):
     assert len(some.ids) == some.length == 2048 and zlib.crc32(array("I", some.ids).tobytes()) == some.ids_crc32
 
 
+def test_one_document_of_a_million_tokens(docs_of, monkeypatch):
+    """Its full windows are sequences by themselves; what shards see is less than a window a document."""
+    seen = []
+    monkeypatch.setattr(packing, "_assign", lambda window, real=packing._assign: seen.append(window) or real(window))
+    docs = [(1, "a b " * 500_000), (2, "a few words")]
+    rows = pack(docs_of(docs)).collect()
+    alone = [r for r in rows if r.sequence_id >= packing.FULL_WINDOWS]
+    assert seen == [2048] and len(alone) == 1_000_001 // 2048 == len({r.sequence_id for r in alone})
+    assert {(r.length, r.offset) for r in alone} == {(2048, 0)}
+    rest = [r for r in rows if r.sequence_id < packing.FULL_WINDOWS]
+    assert sum(r.length for r in rest) < 2 * 2048 and sum(r.length for r in rows if r.doc_id == 1) == 1_000_001
+
+
 def test_query(spark):
     from panelwright.llm.queries import QUERIES, table
 
