@@ -2,11 +2,13 @@
 
 Every task first drops the copies it meets itself: one entry per text, with the smallest id and the
 number of rows. The entries and one short row per document are written to shared files. The
-directory is grown over the entries' hashes: buckets with too many bytes are split by one more hash
-bit, and the directory doubles when a split needs more bits than it has. Owner tasks take key ranges
-of the directory, walk their entries in hash order, chain entries of equal hash and compare bytes.
+directory is grown over the entries' hashes: it begins with as many bits as the bytes ask for, and while
+a bucket of more than one hash holds too many bytes it doubles and splits the overfull buckets by the
+next bit. Every entry finds its bucket, which is a range of hashes, in the directory and goes to the
+bucket's owner; the owner walks its buckets in hash order, chains entries of equal hash and compares bytes.
 
-Bounds: an owner holds one chain, which is the different texts of one 64-bit hash; a task's first
+Bounds: the directory notes the split buckets alone, of which there are at most as many as full buckets,
+``MOST_BUCKETS`` or so; an owner holds one chain, which is the different texts of one 64-bit hash; a task's first
 pass holds at most ``HELD_BYTES`` of text. A text with any number of copies arrives at its owner as
 one entry per flush of a first-pass task, not as one per row.
 """
@@ -18,9 +20,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.llm.common import SPACE, documents, package_on_workers, scratch_path
+from panelwright.llm.common import SPACE, documents, package_on_workers, scratch_path, stored
 
 BUCKET_BYTES = 4 << 20  # a bucket is split above this many bytes of text
+MOST_BUCKETS = 1 << 16  # buckets are larger when there is more text than this many of them hold
 HELD_BYTES = 32 << 20  # text a first-pass task keeps before it writes its entries
 
 _ROWS = "kind string, hash bigint, sha string, doc_id bigint, rows bigint, bytes bigint, norm string"
@@ -78,34 +81,38 @@ def prefix(depth: int):
     return F.shiftrightunsigned(F.shiftrightunsigned("hash", 1), 63 - depth)
 
 
-def directory(sizes: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """Grow the directory over (hash, bytes); returns its slots and its depth.
+def directory(sizes: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, list[DataFrame]]:
+    """Grow the directory over (hash, bytes): its first depth, and the buckets split at each depth from there.
 
-    A slot is the first ``depth`` bits of a hash. Each points to a bucket, the slot's first
-    ``local_depth`` bits: the shortest prefix whose texts fit ``bucket_bytes``. The directory
-    doubles while a bucket of more than one hash is overfull. Columns: slot, bucket, local_depth.
+    A bucket is the first bits of a hash. It is split while its texts exceed ``bucket_bytes``, or what
+    keeps their number near ``MOST_BUCKETS``, and it holds more than one hash.
     """
-    def overfull(depth):
-        found = sizes.groupBy(prefix(depth).alias("slot")).agg(
-            F.sum("bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-        return found.filter((F.col("bytes") > bucket_bytes) & (F.col("low") != F.col("high")))
-
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    depth = max(0, (total // bucket_bytes).bit_length())
-    while depth < 40 and overfull(depth).limit(1).count():
+    most = max(bucket_bytes, total // MOST_BUCKETS)
+    first = depth = (total // most).bit_length()
+    splits: list[DataFrame] = []
+    while depth < 64:
+        found = sizes.groupBy(prefix(depth).alias("bucket")).agg(
+            F.sum("bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+        overfull = stored(found.filter((F.col("bytes") > most) & (F.col("low") != F.col("high"))).select("bucket"), "exact-directory")
+        if not overfull.limit(1).count():
+            break
+        splits.append(overfull)
+        sizes = sizes.join(F.broadcast(overfull), prefix(depth) == overfull["bucket"], "left_semi")
         depth += 1
-    level = sizes.groupBy(prefix(depth).alias("slot")).agg(
-        F.sum("bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-    # From the slots upwards: a parent that fits takes its children back, so buckets differ in depth.
-    table = level.select("slot", F.col("slot").alias("bucket"), F.lit(depth).alias("local_depth"))
-    for up in range(1, min(depth, 3) + 1):
-        parents = level.groupBy(F.shiftright("slot", up).alias("parent")).agg(F.sum("bytes").alias("parent_bytes"))
-        fits = parents.filter(F.col("parent_bytes") <= bucket_bytes).select("parent")
-        table = table.join(fits, F.shiftright(table["slot"], up) == fits["parent"], "left").select(
-            "slot",
-            F.when(F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("bucket")).alias("bucket"),
-            F.when(F.col("parent").isNotNull(), F.lit(depth - up)).otherwise(F.col("local_depth")).alias("local_depth"))
-    return table, depth
+    return first, splits
+
+
+def with_bucket(entries: DataFrame, first: int, splits: list[DataFrame]) -> DataFrame:
+    """Add ``depth``, the bits of an entry's bucket, and ``owner``, the least hash of the bucket's range."""
+    placed = entries.withColumn("depth", F.lit(first))
+    for depth, overfull in enumerate(splits, first):
+        split = F.broadcast(overfull.select("bucket", F.lit(True).alias("split")))
+        placed = placed.join(split, prefix(depth) == F.col("bucket"), "left").withColumn(
+            "depth", F.when(F.col("split"), F.lit(depth + 1)).otherwise(F.col("depth"))).drop("bucket", "split")
+    rest = F.expr("shiftrightunsigned(shiftrightunsigned(-1L, 1), depth - 1)")
+    cleared = F.col("hash").bitwiseAND(F.bitwise_not(rest))
+    return placed.withColumn("owner", F.when(F.col("depth") == 0, F.lit(0).cast("bigint")).otherwise(cleared))
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +161,11 @@ def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[Dat
     hashed.mapInArrow(_entries, _ROWS).write.partitionBy("kind").parquet(path)
     index = spark.read.schema(_ROWS).parquet(path)
     entries = index.filter("kind = 'entry'")
-    slots, _ = directory(entries.select("hash", "bytes"), bucket_bytes)
-    # The shallowest bucket sets the owners' key ranges, so each owner has whole buckets.
-    shared = slots.agg(F.min("local_depth")).first()[0] or 0
-    owned = entries.select("hash", "sha", "doc_id", "rows", "norm").repartition(prefix(shared))
-    groups = owned.sortWithinPartitions("hash").mapInArrow(_chains, _GROUPS)
+    placed = with_bucket(entries.select("hash", "sha", "doc_id", "rows", "norm"), *directory(
+        entries.select("hash", "bytes"), bucket_bytes))
+    # A bucket goes to one owner whole; an owner has many buckets and takes them one after the other.
+    owned = placed.repartition("owner").sortWithinPartitions("owner", "hash")
+    groups = owned.select("hash", "sha", "doc_id", "rows", "norm").mapInArrow(_chains, _GROUPS)
     return index.filter("kind = 'doc'").select("doc_id", "hash", "sha"), groups
 
 

@@ -33,21 +33,39 @@ def test_one_text_holds_most_rows(docs_of):
     assert sorted((tuple(r) for r in got), key=str) == plain(rows)
 
 
+def buckets(spark, hashes, bucket_bytes):
+    df = spark.createDataFrame(hashes, "hash bigint, bytes bigint")
+    placed = exact.with_bucket(df, *exact.directory(df, bucket_bytes))
+    return {r["hash"]: (r.depth, r.owner) for r in placed.collect()}
+
+
 def test_directory_splits_overfull_buckets(spark):
     hashes = [(h << 56, 10) for h in range(-64, 64)] + [(5 << 56, 10)] * 40
-    df = spark.createDataFrame(hashes, "hash bigint, bytes bigint")
-    slots, depth = exact.directory(df, bucket_bytes=45)
-    rows = slots.collect()
-    assert len({r.slot for r in rows}) == len(rows)
-    by_slot = {r.slot: (r.local_depth, r.bucket) for r in rows}
+    found = buckets(spark, hashes, 45)
     size, kinds = {}, {}
     for h, b in hashes:
-        bucket = by_slot[(h & (1 << 64) - 1) >> (64 - depth)]
-        assert bucket[1] == (h & (1 << 64) - 1) >> (64 - bucket[0])
-        size[bucket] = size.get(bucket, 0) + b
-        kinds.setdefault(bucket, set()).add(h)
+        depth, owner = found[h]
+        unsigned = h & (1 << 64) - 1
+        assert owner & (1 << 64) - 1 == unsigned >> (64 - depth) << (64 - depth)
+        size[depth, owner] = size.get((depth, owner), 0) + b
+        kinds.setdefault((depth, owner), set()).add(h)
     assert all(s <= 45 or len(kinds[b]) == 1 for b, s in size.items())
-    assert len({d for d, _ in by_slot.values()}) > 1
+    assert len({depth for depth, _ in found.values()}) > 1
+
+
+def test_a_split_moves_entries_to_another_owner(spark):
+    few = [(h << 60, 10) for h in range(-8, 8)]
+    before, after = buckets(spark, few, 40), buckets(spark, [*few, ((3 << 60) + (1 << 58), 1000)], 40)
+    assert before[2 << 60][1] == before[3 << 60][1] == 2 << 60
+    # The bucket of 2 and 3 is overfull now: 3 has an owner of its own, and the others' stay.
+    assert after[2 << 60][1] != after[3 << 60][1]
+
+
+def test_directory_of_hashes_with_a_long_common_prefix(spark):
+    low, high = 6 << 52, 7 << 52
+    found = buckets(spark, [(low, 100), (high, 100), (-1, 1)], 50)
+    assert found[low] == (12, low) and found[high] == (12, high)
+    assert buckets(spark, [(6, 1)], 50)[6] == (0, 0) and buckets(spark, [], 50) == {}
 
 
 def test_equal_hashes_are_told_apart_by_bytes():
