@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,6 @@ VECTORS_HELD = 60_000  # unseen words whose vectors a task remembers, twice
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 _COUNTED_AT_ONCE = 250_000
-_RANKED_AT_ONCE = 256  # salts among which strings are ranked before the survivors are
 _WORD = re.compile(r"[^\W\d_]+")
 #: Latin-1 in lower case, with blanks for all that is no letter.
 _LATIN = bytes(ord(c) if _WORD.fullmatch(c) else 0x20 for c in (chr(b).lower() for b in range(256)))
@@ -55,83 +54,81 @@ def grams(word: str, length: int) -> list[str]:
     return [marked[i:i + length] for i in range(len(marked) - length + 1)]
 
 
-def _emit(counts: Counter, names: list[str]) -> pa.RecordBatch:
-    keys = list(zip(*counts)) or [()] * (len(names) - 1)
-    kinds = {"lang": pa.string(), "word": pa.string(), "gram": pa.string()}
+def _emit(counts: dict[str, dict[str, int]], name: str) -> pa.RecordBatch:
+    langs = [lang for lang, strings in counts.items() for _ in strings]
+    strings = [s for own in counts.values() for s in own]
+    ns = [n for own in counts.values() for n in own.values()]
     return pa.RecordBatch.from_arrays(
-        [*(pa.array(k, kinds[n]) for k, n in zip(keys, names)), pa.array(list(counts.values()), pa.int64())], names=names)
+        [pa.array(langs, pa.string()), pa.array(strings, pa.string()), pa.array(ns, pa.int64())], ["lang", name, "n"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
 
-    def ready():
-        langs = [lang for lang, words in counts.items() for _ in words]
-        words = [word for words in counts.values() for word in words]
-        ns = [n for words in counts.values() for n in words.values()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], ["lang", "word", "n"])
-
     for batch in batches:
         names = batch.schema.names
         langs, texts = (batch.column(names.index(c)).to_pylist() for c in ("lang", "text"))
         for lang, text in zip(langs, texts):
             counts.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, counts.values())) > _COUNTED_AT_ONCE:
-                yield ready()
+                yield _emit(counts, "word")
                 counts = {}
     if counts:
-        yield ready()
+        yield _emit(counts, "word")
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[str, dict[str, int]] = {}
     for batch in batches:
         names = batch.schema.names
         columns = (batch.column(names.index(c)).to_pylist() for c in ("lang", "word", "n"))
-        for lang, word, n in zip(*columns):
+        for at, (lang, word, n) in enumerate(zip(*columns)):
+            own = counts.setdefault(lang, defaultdict(int))
             for length in range(1, LONGEST + 1):
                 for gram in grams(word, length):
-                    counts[lang, gram] += n
-            if len(counts) > _COUNTED_AT_ONCE:
-                yield _emit(counts, ["lang", "gram", "n"])
-                counts = Counter()
+                    own[gram] += n
+            if at % 100 == 0 and sum(map(len, counts.values())) > _COUNTED_AT_ONCE:
+                yield _emit(counts, "gram")
+                counts = {}
     if counts:
-        yield _emit(counts, ["lang", "gram", "n"])
+        yield _emit(counts, "gram")
 
 
 def _most_frequent(counts: DataFrame, key: list[str], by: str, most: int) -> DataFrame:
     """All counts of the strings that are among the ``most`` frequent of any ``key``.
 
-    Strings are ranked within salts first, so that the last ranking of a key sees a bounded number.
+    The least count is the smallest that no more than ``most`` strings of the key reach, so strings of
+    equal count are kept or left out together and none are ranked; only the different counts are.
     """
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(_RANKED_AT_ONCE)))
-    for within in ([*key, "salt"], key):
-        rank = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("n"), by))
-        salted = salted.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
-    return counts.join(salted.select(by).distinct(), by, "left_semi")
+    together = counts.groupBy(*key, "n").agg(F.count(F.lit(1)).alias("strings"))
+    reached = F.sum("strings").over(Window.partitionBy(*key).orderBy(F.desc("n")))
+    least = together.withColumn("reached", reached).filter(F.col("reached") <= most).groupBy(*key).agg(
+        F.min("n").alias("least"))
+    chosen = counts.join(least, key).filter("n >= least").select(by).distinct()
+    return counts.join(chosen, by, "left_semi")
 
 
 class Model:
     """Log frequencies per language of words and n-grams."""
 
-    def __init__(self, langs: list[str], words: list[tuple], word_totals: dict, parts: list[tuple], part_totals: dict):
-        """``words`` and ``parts`` are (lang, string, count); totals are per lang and (lang, length)."""
+    def __init__(self, langs: list[str], words: Iterable, word_totals: dict, parts: Iterable, part_totals: dict):
+        """``words`` and ``parts`` yield (lang, string, count); totals are per lang and (lang, length)."""
         self.langs = langs
         place = {lang: i for i, lang in enumerate(langs)}
         self.words = self._table(words, lambda lang, _: word_totals[lang], place)
         self.parts = self._table(parts, lambda lang, s: part_totals.get((lang, len(s)), 0), place)
 
     def _table(self, rows, total, place) -> dict[str, bytes]:
-        counts: dict[str, dict[str, int]] = {}
+        counts: dict[str, np.ndarray] = {}
         for lang, string, n in rows:
-            counts.setdefault(string, {})[lang] = n
+            own = counts.get(string)
+            if own is None:
+                own = counts[string] = np.zeros(len(place), np.int64)
+            own[place[lang]] = n
         table = {}
-        for string, by in counts.items():
-            logs = np.zeros(len(place), np.float32)
-            for lang, i in place.items():
-                logs[i] = math.log((by.get(lang, 0) + _SMOOTH) / (total(lang, string) + 1.0))
-            table[string] = logs.tobytes()
+        for string in list(counts):
+            sums = np.array([total(lang, string) for lang in place], float)
+            table[string] = np.log((counts.pop(string) + _SMOOTH) / (sums + 1.0)).astype(np.float32).tobytes()
         return table
 
     def __getstate__(self):
@@ -179,8 +176,14 @@ def fit(docs: DataFrame) -> Model:
     kept_parts = _most_frequent(parts, ["lang", "length"], "gram", GRAMS // (len(langs) * LONGEST))
     return Model(
         langs,
-        [(r.lang, r.word, r.n) for r in kept_words.collect()], totals,
-        [(r.lang, r.gram, r.n) for r in kept_parts.collect()], part_totals)
+        _rows(kept_words.select("lang", "word", "n")), totals,
+        _rows(kept_parts.select("lang", "gram", "n")), part_totals)
+
+
+def _rows(counts: DataFrame) -> Iterator[tuple]:
+    """Rows of a bounded table one by one, from Arrow columns."""
+    for batch in counts.toArrow().to_batches(max_chunksize=10_000):
+        yield from zip(*(column.to_pylist() for column in batch.columns))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

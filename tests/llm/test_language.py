@@ -11,7 +11,9 @@ from panelwright.llm.queries import QUERIES, table
 
 
 def most(counts, limit):
-    return sorted(counts, key=lambda s: (-counts[s], s))[:limit]
+    """The most frequent, those of equal count together."""
+    reached = {n: sum(m >= n for m in counts.values()) for n in set(counts.values())}
+    return [s for s, n in counts.items() if reached[n] <= limit]
 
 
 def plain(rows, words_kept=10 ** 9, grams_kept=10 ** 9):
