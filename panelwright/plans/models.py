@@ -11,7 +11,7 @@ from panelwright.operators import composite, concentration, figures, growth, pan
 from panelwright.operators import scenarios, shares
 from panelwright.operators.metrics import metrics_long, run_metadata
 from panelwright.operators.panel import PANEL_KEYS
-from panelwright.sources import durable, standardize_long, write_table
+from panelwright.sources import durable, standardize_actor, standardize_long, write_table
 
 MODEL_VERSION = "1.0"
 
@@ -78,7 +78,13 @@ def composite_model(
     dimensions: Sequence[presets.Dimension] = presets.DIMENSIONS,
 ) -> dict[str, DataFrame]:
     table = durable(composite.composite_table(panel, dimensions))
+    clusters = durable(composite.cluster_indicators(table, keys, list(composite.COMPONENTS)))
+    flags = {c.replace("is_", "share_", 1): c for c in table.columns if c.startswith("is_")}
     return {
+        "composite_clusters": clusters,
+        "composite_cluster_profiles": composite.cluster_profiles(
+            clusters, {"avg_index": "composite", **flags, "avg_shock": "component_shock", "avg_growth": "growth_share",
+                       "avg_stock": "stock_share"}),
         "composite_index": table,
         "composite_ranked": composite.ranked_index_table(table, keys),
         "composite_summary": composite.summary_by_type(table),
@@ -104,12 +110,14 @@ def risk_model(
     one = list(entity) or ["all"]
     whole = components if entity else components.withColumn("all", F.lit(1))
     contribution = risk.score_contribution(whole, one)
+    spread = risk.sensitivity_stats(varied, entity)
     return {
+        "risk_run": run_metadata(components, "risk", MODEL_VERSION, "code", "panel_compare", {"indicators": len(indicators)}),
         "risk_components": components,
         "risk_contribution": contribution if entity else contribution.drop("all"),
         "risk_summary": risk.risk_summary(totals, "panel_compare", entity),
         "risk_sensitivity": varied,
-        "risk_sensitivity_stats": risk.sensitivity_stats(varied, entity),
+        "risk_sensitivity_stats": spread,
         "risk_implications": risk.implications(components, entity, indicators),
         "risk_figure": figures.score_bars(components, entity),
     }
@@ -127,6 +135,8 @@ def scenario_model(
     thresholds = thresholds or presets.THRESHOLDS
     projection = scenarios.project_scenarios(base, keys, base_col, scenario_list, years, base_year)
     return {
+        "scenario_run": run_metadata(projection, "scenarios", MODEL_VERSION, "scenario_id", "panel_long", {
+            "base_year": base_year, "projection_years": len(years), **{f"threshold_{n}": v for n, v in thresholds.items()}}),
         "scenario_projections": projection,
         "scenario_crossings": scenarios.threshold_crossings(projection, keys, thresholds),
         "scenario_comparison": scenarios.compare_to_baseline(projection, keys),
@@ -144,9 +154,12 @@ def run_models(
     base_match: dict[str, object],
     fmt: str = "parquet",
     default_capacity: float = presets.BASE_CAPACITY,
+    raw_actors: DataFrame | None = None,
 ) -> list[str]:
     """Clean raw observations, run every model over one panel and write all tables.
 
+    With raw actor counts the actor tables are written too.
+
     The long table and the panel are checkpointed once, since every model reads them, and the
     key of the long panel is checked before it is pivoted.
     """
@@ -164,6 +177,8 @@ def run_models(
         **risk_model(panel),
         **scenario_model(capacity, [], "value"),
     }
+    if raw_actors is not None:
+        tables |= actor_concentration_model(durable(standardize_actor(raw_actors)), base, current)
     key_order = [F.col(c) for c in PANEL_KEYS]
     orders = {
         "growth_top": [F.col("contrib_growth").desc(), *key_order],

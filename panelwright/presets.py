@@ -20,6 +20,13 @@ ACTOR_ALIASES = {
     ],
 }
 
+# Names that tell the columns of an actor table apart when none of the aliases is there.
+ACTOR_PATTERNS = {
+    "actor": ["^gao$", "grupo", "actor", "organizacion", "estructura"],
+    "year": ["^year$", "^anio$", "^ano$", "vigencia", "fecha"],
+    "total": ["^total$", "integrantes", "miembros", "size", "capacidad", "conteo", "count"],
+}
+
 LONG_PATTERNS = {
     "category": ["^categoria$", "categoria_"],
     "indicator": ["^indicador$", "indicador_"],

@@ -1,4 +1,4 @@
-from panelwright.sources.columns import ColumnsMissing, clean_names, resolve_columns, standardize_long, validate_schema
+from panelwright.sources.columns import ColumnsMissing, clean_names, resolve_columns, standardize_actor, standardize_long, validate_schema
 from panelwright.sources.files import (
     LONG_SCHEMA,
     durable,
@@ -11,5 +11,5 @@ from panelwright.sources.files import (
 
 __all__ = [
     "ColumnsMissing", "LONG_SCHEMA", "clean_names", "durable", "read_indicator_csv", "read_with_quarantine",
-    "resolve_columns", "scratch_path", "standardize_long", "validate_schema", "write_table", "written",
+    "resolve_columns", "scratch_path", "standardize_actor", "standardize_long", "validate_schema", "write_table", "written",
 ]

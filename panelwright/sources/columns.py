@@ -8,8 +8,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.functions import blank_to_null, to_int, to_number
-from panelwright.presets import LONG_PATTERNS
+from panelwright.functions import blank_to_null, normalize_key, to_int, to_number
+from panelwright.presets import ACTOR_ALIASES, ACTOR_PATTERNS, LONG_PATTERNS
 from panelwright.sources.files import LONG_SCHEMA, ColumnsMissing
 
 REQUIRED_LONG = ("category", "indicator", "period", "value")
@@ -78,3 +78,26 @@ def standardize_long(df: DataFrame, patterns: Mapping[str, Sequence[str]] = LONG
     named = resolve_columns(clean_names(df), patterns, mode="regex", optional=optional)
     cast = {"int": to_int, "double": to_number, "string": blank_to_null}
     return named.select(*[cast[f.dataType.simpleString()](f.name).alias(f.name) for f in LONG_SCHEMA.fields])
+
+
+def standardize_actor(df: DataFrame, names: Mapping[str, Sequence[str]] | None = None, mode: str = "alias") -> DataFrame:
+    """Raw actor counts to (actor, period, total, armed, support), whatever the input headers are.
+
+    ``names`` are aliases or, in mode ``regex``, patterns for actor, year and total; the markets
+    ``armed`` and ``support`` are taken by name and NULL where they are absent. Actors are text keys.
+    Rows without an actor, a year or a total are left out.
+    """
+    plain = clean_names(df)
+    markets = {m: F.col(m) if m in plain.columns else F.lit(None) for m in ("armed", "support")}
+    chosen = names or (ACTOR_ALIASES if mode == "alias" else ACTOR_PATTERNS)
+    if mode == "regex":
+        chosen = {**chosen, **{m: [f"^{m}$"] for m in markets}}
+        plain = resolve_columns(plain, chosen, mode="regex", optional=dict.fromkeys(markets, "double"))
+        markets = {m: F.col(m) for m in markets}
+    else:
+        plain = resolve_columns(plain, chosen)
+    actor = normalize_key("actor")
+    return plain.select(
+        F.when(actor != "", actor).alias("actor"), to_int("year").alias("period"), to_number("total").alias("total"),
+        *[to_number(c.cast("string")).alias(m) for m, c in markets.items()],
+    ).dropna(subset=["actor", "period", "total"])
