@@ -37,7 +37,7 @@ def columns_read(plan):
 
 @needs_data
 def test_scans_read_and_filter_little(spark):
-    plan = physical(QUERIES["con10_concentration_indices"](spark, SMALL))
+    plan = physical(QUERIES["con06_hhi"](spark, SMALL))
     assert any("o_custkey" in c and "o_orderpriority" not in c for c in columns_read(plan))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)
     assert re.search(r"PushedFilters: \[[^\]]*LessThan\(o_orderdate", plan)
