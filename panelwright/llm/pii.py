@@ -233,10 +233,11 @@ def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data written over by its kind in brackets.
 
     Spans that overlap count as one, named after the first. A null text stays null; all other
-    columns come along.
+    columns come along, whatever their names.
     """
     weights = fit(stored(candidates(docs), "pii-candidates"))
-    found = docs.withColumn("candidates", _candidates(F.coalesce(F.col("text"), F.lit(""))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = docs.select(row, "text", _candidates(F.coalesce(F.col("text"), F.lit(""))).alias("candidates"))
     spans = found.withColumn("candidates", F.array_sort(_accepted(weights)))
 
     def step(state: Column, c: Column) -> Column:
@@ -249,7 +250,8 @@ def masked(docs: DataFrame) -> DataFrame:
     begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.aggregate("candidates", begun, step, lambda s: F.concat(
         F.array_join(s["parts"], ""), F.substring("text", s["at"] + 1, F.length("text"))))
-    return spans.withColumn("text", F.when(F.size("candidates") > 0, text).otherwise(F.col("text"))).drop("candidates")
+    written = F.when(F.size("candidates") > 0, text).otherwise(F.col("text")).alias("text")
+    return spans.select(*[written if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

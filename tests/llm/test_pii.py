@@ -94,3 +94,12 @@ def test_plan_is_native(spark):
     df = pii.candidates(table(spark, "/root/testdata/sf0.001", "documents"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_masked_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a@b.de, ip 1.2.3.4", 7, "r"), (2, None, 8, None), (3, "plain", None, "r"), (1, "x" * 100_000 + " a@b.de", 9, "r")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, candidates int, row string")
+    got = pii.masked(docs)
+    assert got.columns == docs.columns
+    want = [(1, "mail [EMAIL], ip [IP]", 7, "r"), rows[1], rows[2], (1, "x" * 100_000 + " [EMAIL]", 9, "r")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
