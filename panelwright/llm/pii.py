@@ -233,12 +233,15 @@ def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data written over by its kind in brackets.
 
     Spans that overlap count as one, named after the first. A null text stays null; all other
-    columns come along, whatever their names.
+    columns come along, whatever their names, if Parquet can hold them. Repeated rows stay; no rows
+    give no rows.
     """
-    weights = fit(stored(candidates(docs), "pii-candidates"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    found = docs.select(row, "text", _candidates(F.coalesce(F.col("text"), F.lit(""))).alias("candidates"))
-    spans = found.withColumn("candidates", F.array_sort(_accepted(weights)))
+    # Candidates are found once: stored beside the row, whose columns go by their places meanwhile.
+    row = F.struct(*[
+        F.col(f"`{c}`").alias(f"c{place}") for place, c in enumerate(docs.columns) if c != "text"] or [F.lit(0).alias("none")]).alias("row")
+    found = stored(docs.select(row, F.col("text").cast("string").alias("text")).withColumn(
+        "candidates", _candidates(F.coalesce(F.col("text"), F.lit("")))), "pii-candidates")
+    spans = found.withColumn("candidates", F.array_sort(_accepted(fit(found))))
 
     def step(state: Column, c: Column) -> Column:
         before = F.substring("text", state["at"] + 1, c["start"] - state["at"])
@@ -251,7 +254,8 @@ def masked(docs: DataFrame) -> DataFrame:
     text = F.aggregate("candidates", begun, step, lambda s: F.concat(
         F.array_join(s["parts"], ""), F.substring("text", s["at"] + 1, F.length("text"))))
     written = F.when(F.size("candidates") > 0, text).otherwise(F.col("text")).alias("text")
-    return spans.select(*[written if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return spans.select(*[
+        written if c == "text" else F.col("row").getField(f"c{place}").alias(c) for place, c in enumerate(docs.columns)])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
