@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright import presets
 from panelwright.functions import band, clip_nonneg, finite_or_null
 from panelwright.operators.concentration import concentration_indices
 from panelwright.operators.shares import unpivot_markets
-from panelwright.sources import durable
+from panelwright.sources import written
 
 COMPONENTS = {
     "component_control": "score_control",
@@ -23,6 +21,9 @@ COMPONENTS = {
     "component_growth": "growth_share",
 }
 
+BROADCAST_GROUPS = 20_000  # ranges of so many groups are sent to every task
+SALTS = 32
+
 
 def change_features(panel: DataFrame) -> DataFrame:
     """Positive change (0 when unknown), size of the change, current level."""
@@ -74,12 +75,16 @@ def dimension_scores(df: DataFrame, names: Sequence[str] = ("control", "innov",
     return df.withColumns({f"score_{n}": F.col(f"is_{n}") * F.col("severity") for n in names})
 
 
-def safe_rescale(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+def safe_rescale(
+    df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = (), broadcast_groups: int = BROADCAST_GROUPS
+) -> DataFrame:
     """Min-max rescale to [0, 1], one new column per entry of ``columns`` (new: source).
 
     A column without values or without range gives zero on every row; otherwise NULL stays
-    NULL. All ranges come from one aggregation. Without ``by`` it is a scalar subquery;
-    with it the ranges are joined back per group (by broadcast when Spark finds them small).
+    NULL. All ranges come from one aggregation. Without ``by`` it is a scalar subquery. With it the
+    ranges are written and counted: up to ``broadcast_groups`` of them go to every task and the rows
+    stay where they are; more are joined with each group's rows spread over ``SALTS`` keys, so that a
+    group of most rows is not one task.
     """
     source = {new: finite_or_null(old) for new, old in columns.items()}
     ranges = [
@@ -88,8 +93,14 @@ def safe_rescale(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] =
     if by:
         # A struct key, so that rows with a NULL group find their range as well.
         key = F.struct(*[F.col(c) for c in by])
-        facts = df.groupBy(key.alias("range_key")).agg(F.struct(*ranges).alias("ranges"))
-        ranged = df.withColumn("range_key", key).join(facts, "range_key")
+        facts = written(df.groupBy(key.alias("range_key")).agg(F.struct(*ranges).alias("ranges")), "ranges")
+        rows = df.withColumn("range_key", key)
+        if facts.count() <= broadcast_groups:
+            ranged = rows.join(F.broadcast(facts), "range_key")
+        else:
+            salted = facts.withColumn("range_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+            ranged = rows.withColumn("range_salt", salt).join(salted, ["range_key", "range_salt"])
     else:
         ranged = df.withColumn("ranges", df.agg(F.struct(*ranges)).scalar())
 
@@ -193,19 +204,70 @@ def top_dynamic(table: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame
     return ranked_index_table(rows, keys)
 
 
+def _whole(column: str, steps: int) -> Column:
+    return F.floor(F.coalesce(finite_or_null(column), F.lit(0.0)) * steps + 0.5).cast("bigint")
+
+
+def _square_distance(point: Sequence[Column], centre: Sequence[int]) -> Column:
+    return sum(((x - F.lit(c)) * (x - F.lit(c)) for x, c in zip(point, centre)), F.lit(0).cast("bigint"))
+
+
+def _nearest(point: Sequence[Column], centres: Sequence[Sequence[int]]) -> Column:
+    """Label 1..k of the nearest centre; a tie goes to the lower label."""
+    return F.array_min(F.array(*[
+        F.struct(_square_distance(point, c).alias("d"), F.lit(label).alias("label"))
+        for label, c in enumerate(centres, 1)]))["label"]
+
+
+def fit_clusters(
+    df: DataFrame, columns: Sequence[str], k: int = 5, steps: int = 1_000_000, rounds: int = 50
+) -> list[list[int]]:
+    """At most ``k`` centres in whole numbers, 1/``steps`` each, by Lloyd rounds from farthest-first seeds.
+
+    Everything is counted in whole numbers, so the centres depend neither on a random seed nor on how
+    rows are partitioned, and SQL can repeat them. Rows become points (NULL is zero); equal points are
+    one with a weight. The first seed is the point of smallest MD5, each further one the point farthest
+    from the seeds so far, ties by MD5; fewer distinct points give fewer centres, no rows none. A centre
+    becomes the mean of its points, rounded down, until no centre moves or ``rounds`` have run; a centre
+    without points stays. Values may reach 1000 at the default ``steps``; a distance beyond 64 bits fails.
+    Each seed and each round is one aggregation to at most ``k`` rows.
+    """
+    names = [f"x{place}" for place in range(len(columns))]
+    point = [F.col(x) for x in names]
+    points = written(
+        df.select(*[_whole(c, steps).alias(x) for c, x in zip(columns, names)]).groupBy(*names).agg(
+            F.count(F.lit(1)).alias("n")), "cluster-points")
+    digest = F.md5(F.concat_ws(",", *point).cast("binary")).alias("digest")
+    centres: list[list[int]] = []
+    while len(centres) < k:
+        apart = F.array_min(F.array(*[_square_distance(point, c) for c in centres])) if centres else F.lit(1)
+        farthest = points.agg(F.min(F.struct((-apart).alias("d"), digest, *point)).alias("s")).first()["s"]
+        if farthest is None or farthest["d"] == 0:
+            break
+        centres.append([farthest[x] for x in names])
+    for _ in range(rounds if centres else 0):
+        sums = [F.sum(F.col("n").cast("decimal(18,0)") * x.cast("decimal(18,0)")).alias(name)
+                for x, name in zip(point, names)]
+        moved = list(centres)
+        for row in points.groupBy(_nearest(point, centres).alias("label")).agg(F.sum("n").alias("n"), *sums).collect():
+            moved[row["label"] - 1] = [int(row[x]) // row["n"] for x in names]
+        if moved == centres:
+            break
+        centres = moved
+    return centres
+
+
 def cluster_indicators(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], k: int = 5, seed: int = 42
+    df: DataFrame, columns: Sequence[str], k: int = 5, steps: int = 1_000_000, rounds: int = 50
 ) -> DataFrame:
-    """K-means labels 1..k over the components, NULL taken as zero.
+    """Labels 1..k over the components, NULL taken as zero, by the centres of ``fit_clusters``.
 
-    Trains a model, so it runs jobs. The input is laid out by its keys and checkpointed, so that
-    every pass, also after a lost executor, sees the same rows in the same order.
+    Fitting runs jobs over the distinct points; ``df`` itself is read once for them and once for the
+    labels. No rows give no rows.
     """
-    filled = {f"{c}_filled": F.coalesce(F.col(c), F.lit(0.0)) for c in columns}
-    rows = durable(df.withColumns(filled).repartition(*keys).sortWithinPartitions(*keys))
-    vectors = VectorAssembler(inputCols=list(filled), outputCol="features").transform(rows)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).select(*df.columns, (F.col("cluster") + 1).alias("cluster"))
+    centres = fit_clusters(df, columns, k, steps, rounds)
+    label = _nearest([_whole(c, steps) for c in columns], centres) if centres else F.lit(None).cast("int")
+    return df.withColumn("cluster", label)
 
 
 def assign_clusters(

@@ -15,6 +15,8 @@ from panelwright import presets
 from panelwright.functions import band, finite_or_null, safe_pct
 from panelwright.presets import RiskIndicator
 
+BROADCAST_VECTORS = 1 << 16  # combinations of points whose results are sent to every task
+
 
 def map_codes(df: DataFrame, indicators: Sequence[RiskIndicator] = presets.RISK_INDICATORS,
               column: str = "indicator") -> DataFrame:
@@ -206,6 +208,32 @@ def sensitivity_stats(sensitivity: DataFrame, entity: Sequence[str]) -> DataFram
     return sensitivity.groupBy(*entity).agg(*stats) if entity else sensitivity.agg(*stats)
 
 
+def weight_sensitivity_stats(
+    raw: DataFrame,
+    entity: Sequence[str],
+    indicators: Sequence[RiskIndicator] = presets.RISK_INDICATORS,
+    grid: Mapping[str, tuple[float, float, int]] = presets.WEIGHT_GRID,
+    red: float = presets.RED_THRESHOLD,
+    amber: float = presets.AMBER_THRESHOLD,
+) -> DataFrame:
+    """``sensitivity_stats`` of ``weight_sensitivity``, one row per row of ``raw``, without its grid per entity.
+
+    Entities with the same points share all their results. There are only as many combinations of points
+    as (points + 1) to the power of the codes, so the grid is worked out per combination that occurs.
+    Up to ``BROADCAST_VECTORS`` possible ones go to every task, and entities are not moved; with more
+    codes Spark chooses the join by size.
+    """
+    names = [f"raw_{i.code}" for i in indicators]
+    points = [F.coalesce(F.col(n), F.lit(0)).cast("int").alias(f"points_{n}") for n in names]
+    keys = [f"points_{n}" for n in names]
+    rows = raw.select(*entity, *points)
+    vectors = rows.select(*keys).distinct().select(*keys, *[F.col(f"points_{n}").alias(n) for n in names])
+    stats = sensitivity_stats(weight_sensitivity(vectors, keys, indicators, grid, red, amber), keys)
+    if (presets.MAX_POINTS + 1) ** len(names) <= BROADCAST_VECTORS:
+        stats = F.broadcast(stats)
+    return rows.join(stats, keys).drop(*keys)
+
+
 def implications(
     components: DataFrame,
     entity: Sequence[str],

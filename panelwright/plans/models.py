@@ -78,7 +78,7 @@ def composite_model(
     dimensions: Sequence[presets.Dimension] = presets.DIMENSIONS,
 ) -> dict[str, DataFrame]:
     table = durable(composite.composite_table(panel, dimensions))
-    clusters = durable(composite.cluster_indicators(table, keys, list(composite.COMPONENTS)))
+    clusters = durable(composite.cluster_indicators(table, list(composite.COMPONENTS)))
     flags = {c.replace("is_", "share_", 1): c for c in table.columns if c.startswith("is_")}
     return {
         "composite_clusters": clusters,
@@ -110,7 +110,7 @@ def risk_model(
     one = list(entity) or ["all"]
     whole = components if entity else components.withColumn("all", F.lit(1))
     contribution = risk.score_contribution(whole, one)
-    spread = risk.sensitivity_stats(varied, entity)
+    spread = risk.weight_sensitivity_stats(raw, entity, indicators, grid or presets.WEIGHT_GRID)
     return {
         "risk_run": run_metadata(components, "risk", MODEL_VERSION, "code", "panel_compare", {"indicators": len(indicators)}),
         "risk_components": components,

@@ -168,10 +168,44 @@ def legacy(spark, sf_dir):
     return rounded(composite.weighted_sum(index_table(spark, sf_dir), LEGACY, "legacy").select("entity", "legacy"))
 
 
-@query("idx15_cluster_indicators")
+K, ROUNDS = 5, 50
+_X = [f"x{i}" for i in range(len(composite.COMPONENTS))]
+_POINT = ", ".join(f"CAST(floor(coalesce({c}, 0) * 1000000 + 0.5) AS BIGINT) AS {x}" for c, x in zip(composite.COMPONENTS, _X))
+cte("cluster_points", ("composite",), f"""
+SELECT {', '.join(_X)}, count(*) AS n, md5(concat_ws(',', {', '.join(_X)})) AS digest
+FROM (SELECT {_POINT} FROM composite) GROUP BY {', '.join(_X)}""")
+
+
+def _apart(centre: str) -> str:
+    return " + ".join(f"(p.{x} - {centre.format(x=x)}) * (p.{x} - {centre.format(x=x)})" for x in _X)
+
+
+_LABELS = "[" + ", ".join(_apart(f"c{j}_{{x}}") for j in range(1, K + 1)) + "]"
+_SEEDS = ",\n".join(
+    [f"s1 AS MATERIALIZED (SELECT {', '.join(_X)} FROM cluster_points ORDER BY digest LIMIT 1)"] + [
+        f"s{j} AS MATERIALIZED (SELECT {', '.join('p.' + x for x in _X)} FROM cluster_points p, "
+        f"{', '.join(f's{i}' for i in range(1, j))} ORDER BY least({', '.join(_apart(f's{i}.{{x}}') for i in range(1, j))}) DESC, "
+        "p.digest LIMIT 1)" for j in range(2, K + 1)])
+_FIRST = ", ".join(f"s{j}.{x} AS c{j}_{x}" for j in range(1, K + 1) for x in _X)
+_MOVED = ", ".join(
+    f"coalesce(CAST(sum(n * {x}) FILTER (label = {j}) // sum(n) FILTER (label = {j}) AS BIGINT), any_value(c{j}_{x})) AS c{j}_{x}"
+    for j in range(1, K + 1) for x in _X)
+
+
+@query("idx15_cluster_indicators", sql("cluster_points", f"""
+WITH {_SEEDS},
+lloyd AS (
+  SELECT 0 AS round, {_FIRST} FROM {', '.join(f's{j}' for j in range(1, K + 1))}
+  UNION ALL
+  SELECT round + 1 AS round, {_MOVED}
+  FROM (SELECT p.*, l.*, list_position({_LABELS}, list_min({_LABELS})) AS label
+        FROM lloyd l, cluster_points p WHERE round < {ROUNDS}) GROUP BY round)
+SELECT entity, round(composite, 9) AS composite, {', '.join(f'round({c}, 9) AS {c}' for c in composite.COMPONENTS)},
+       CAST(list_position({_LABELS}, list_min({_LABELS})) AS INTEGER) AS cluster
+FROM (SELECT *, {_POINT} FROM composite) p, (SELECT * FROM lloyd WHERE round = {ROUNDS})""", recursive=True))
 def clusters(spark, sf_dir):
     table = index_table(spark, sf_dir).select("entity", "composite", *composite.COMPONENTS)
-    return rounded(composite.cluster_indicators(table, ["entity"], list(composite.COMPONENTS)))
+    return rounded(composite.cluster_indicators(table, list(composite.COMPONENTS), K, rounds=ROUNDS))
 
 
 CENTRES = [[0.0] * 4, [0.5, 0.0, 0.0, 0.0], [0.0, 0.0, 0.001, 0.0], [0.0, 0.0, 0.0, 0.001], [0.25, 0.001, 0.0005, 0.5]]
@@ -182,7 +216,7 @@ _DISTANCES = [" + ".join(f"power(coalesce({c}, 0) - {x!r}, 2)" for c, x in zip(c
 SELECT entity, CAST(list_position(d, list_min(d)) AS INTEGER) AS cluster
 FROM (SELECT entity, [{', '.join(_DISTANCES)}] AS d FROM composite)"""))
 def assigned(spark, sf_dir):
-    """The nearest of given centres; the fit itself has no SQL."""
+    """The nearest of given centres."""
     table = index_table(spark, sf_dir).select("entity", *composite.COMPONENTS)
     return composite.assign_clusters(table, CENTRES, list(composite.COMPONENTS)).select("entity", "cluster")
 

@@ -168,7 +168,8 @@ SELECT entity, round(min(total_score), 9) AS min_score, round(max(total_score),
        round(avg(CASE WHEN total_score < 4 THEN 100.0 ELSE 0.0 END), 9) AS pct_green
 FROM varied GROUP BY 1"""))
 def stats(spark, sf_dir):
-    return rounded(risk.sensitivity_stats(varied(spark, sf_dir), ENTITY))
+    raw = risk.raw_scores(components(spark, sf_dir), ENTITY, INDICATORS)
+    return rounded(risk.weight_sensitivity_stats(raw, ENTITY, INDICATORS, GRID))
 
 
 ACTIONS = """CASE WHEN total_score >= 7 THEN 'Activar protocolo de crisis estratégica; Revisión urgente de doctrina operativa; Aumento de inteligencia y vigilancia; Coordinación interagencial prioritaria'

@@ -1,6 +1,8 @@
 """Null, rounding, cast and tie rules."""
 
+import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,8 +217,72 @@ def test_unpivot_is_inverse_of_pivot(spark, panel):
 def test_clusters_and_profiles(spark):
     rows = [(i, float(i % 3) * 10, None if i % 5 == 0 else 1.0) for i in range(60)]
     df = spark.createDataFrame(rows, "i int, a double, b double")
-    labelled = composite.cluster_indicators(df, ["i"], ["a", "b"], k=3)
-    assert labelled.count() == 60 and {r.cluster for r in labelled.collect()} <= {1, 2, 3}
+    labelled = composite.cluster_indicators(df, ["a", "b"], k=3)
+    assert labelled.count() == 60 and {r.cluster for r in labelled.collect()} == {1, 2, 3}
     profiles = composite.cluster_profiles(df.withColumn("cluster", F.col("i") % 2), {"avg_a": "a", "avg_b": "b"})
     assert {r.n_indicators for r in profiles.collect()} == {30}
     assert all(r.avg_b == 1.0 for r in profiles.collect())
+
+
+def plain_clusters(points, k, rounds=50):
+    """Farthest-first seeds and Lloyd rounds over whole numbers, point by point."""
+    def apart(p, q):
+        return sum((a - b) ** 2 for a, b in zip(p, q))
+
+    def digest(p):
+        return hashlib.md5(",".join(map(str, p)).encode()).hexdigest()
+
+    seeds = []
+    while points and len(seeds) < k:
+        best = min(points, key=lambda p: (-min([apart(p, s) for s in seeds], default=1), digest(p)))
+        if best in seeds:
+            break
+        seeds.append(best)
+    for _ in range(rounds):
+        groups = {}
+        for p in points:
+            groups.setdefault(min(range(len(seeds)), key=lambda j: (apart(p, seeds[j]), j)), []).append(p)
+        moved = [tuple(sum(x) // len(groups[j]) for x in zip(*groups[j])) if j in groups else s for j, s in enumerate(seeds)]
+        if moved == seeds:
+            break
+        seeds = moved
+    return [list(s) for s in seeds]
+
+
+def test_clusters_match_brute_force(spark):
+    draw = random.Random(3)
+    rows = [(i, draw.choice([0.0, 0.0, draw.random(), None]), draw.random() ** 3) for i in range(300)] + [(1, 0.25, 0.5)] * 200
+    df = spark.createDataFrame(rows, "i int, a double, b double")
+    points = [(math.floor((a or 0) * 1e6 + 0.5), math.floor(b * 1e6 + 0.5)) for _, a, b in rows]
+    for parts in (1, 7):
+        assert composite.fit_clusters(df.repartition(parts), ["a", "b"], k=4) == plain_clusters(points, 4)
+    few = spark.createDataFrame([(1, float("nan"), 1.0), (2, None, 1.0), (3, 1.0, None)], df.schema)
+    assert len(composite.fit_clusters(few, ["a", "b"])) == 2
+    assert sorted((r.i, r.cluster) for r in composite.cluster_indicators(few, ["a", "b"]).collect())[:2] in (
+        [(1, 1), (2, 1)], [(1, 2), (2, 2)])
+    assert composite.cluster_indicators(df.limit(0), ["a", "b"]).collect() == []
+
+
+def test_rescale_by_group_has_the_same_rows_both_ways(spark):
+    rows = [(i, None if i % 7 == 0 else "abc"[min(i % 9, 2)], None if i % 5 == 0 else float(i % 13)) for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:50], "i int, g string, x double").repartition(6)
+    sent = composite.safe_rescale(df, {"r": "x"}, by=["g"])
+    spread = composite.safe_rescale(df, {"r": "x"}, by=["g"], broadcast_groups=0)
+    assert sorted(sent.collect(), key=str) == sorted(spread.collect(), key=str) and sent.count() == 450
+    assert composite.safe_rescale(df.limit(0), {"r": "x"}, by=["g"], broadcast_groups=-1).collect() == []
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 0])
+def test_sensitivity_by_vectors_equals_the_grid_per_entity(spark, monkeypatch, limit):
+    monkeypatch.setattr(risk, "BROADCAST_VECTORS", limit)
+    codes = [i.code for i in presets.RISK_INDICATORS]
+    rows = [(None if e == 0 else e, *[None if (e + j) % 5 == 4 else (e * (j + 1)) % 4 for j in range(len(codes))])
+            for e in range(40)]
+    raw = spark.createDataFrame(rows, "entity int, " + ", ".join(f"raw_{c} int" for c in codes))
+    want = risk.sensitivity_stats(risk.weight_sensitivity(raw, ["entity"]), ["entity"]).collect()
+    got = risk.weight_sensitivity_stats(raw, ["entity"])
+    assert got.columns == ["entity", "min_score", "max_score", "mean_score", "sd_score", "pct_red", "pct_amber", "pct_green"]
+    got = {r.entity: r for r in got.collect()}
+    assert len(got) == len(want) == 40
+    for r in want:
+        assert list(got[r.entity])[1:] == pytest.approx(list(r)[1:])
