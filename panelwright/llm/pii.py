@@ -238,7 +238,8 @@ def masked(docs: DataFrame) -> DataFrame:
     """
     # Candidates are found once: stored beside the row, whose columns go by their places meanwhile.
     row = F.struct(*[
-        F.col(f"`{c}`").alias(f"c{place}") for place, c in enumerate(docs.columns) if c != "text"] or [F.lit(0).alias("none")]).alias("row")
+        F.col(f"`{c}`").alias(f"c{place}") for place, c in enumerate(docs.columns) if c != "text"
+    ] or [F.lit(0).alias("none")]).alias("row")
     found = stored(docs.select(row, F.col("text").cast("string").alias("text")).withColumn(
         "candidates", _candidates(F.coalesce(F.col("text"), F.lit("")))), "pii-candidates")
     spans = found.withColumn("candidates", F.array_sort(_accepted(fit(found))))
