@@ -3,36 +3,41 @@
 Each class has the counts of its own characters after up to five characters of the same word; what a
 class has not seen is backed off to continuation counts after three characters that both classes
 share. A document's evidence is the difference of the two log-likelihoods over its length. A logistic
-curve, fitted on training rows that the counts leave out, turns it into a score.
-
-The counts are tables of fixed size: a context is hashed to one of 2^12 cells by its last three
-characters and one of 2^5 by the two before, a character to one of 2^6. All training rows are
-counted, in tasks that send packed slices; the model, 32 MB whatever the corpus, is broadcast.
+curve, fitted on training rows that the counts leave out, turns it into a score; the same rows choose
+the discount, by their log loss.
+
+The counts are exact: a gram is five characters before and one character, six bits each, in one long,
+and Spark groups grams of all training rows. Only two things remain of the models: the log ratio of
+each gram seen in a class, and that of an unseen character after each context seen, where the shared
+backoff cancels out. They grow with the corpus, so they are cut by context into slices of a bounded
+number of entries; each slice is broadcast alone and adds its part of every document's evidence.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwright.llm.common import documents, fold, package_on_workers
+from panelwright.llm.common import documents, fold, package_on_workers, scratch_path, stored
 
-NEAR_BITS, FAR_BITS, CHAR_BITS = 12, 5, 6
-CELLS = 1 << (NEAR_BITS + FAR_BITS + CHAR_BITS)
-SLICE = 1 << 15
-DISCOUNT = 0.75
+KINDS = 64  # slots of characters; 0 is the end of a word
+DISCOUNTS = (0.6, 0.75, 0.9)  # the calibrating rows choose one
 STEADY = 100  # added to the length, so that a few characters alone decide nothing
 HELD_OUT, FOLDS, CALIBRATION = 1, 3, 5
 CUT = 0.7
+SLICE_ENTRIES = 8_000_000  # of 12 bytes, in one broadcast
+RESIDUES = 4093  # contexts are dealt to slices by their residues
 _STEP = 1 / 4000  # width of a calibration bin
 _CHARS_AT_ONCE = 1 << 20
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_WORDS_AT_ONCE = 1 << 18
+_LONGEST_REMEMBERED = 64
 
 
 def _char_slots() -> np.ndarray:
@@ -50,101 +55,149 @@ def _char_slots() -> np.ndarray:
 
 
 _SLOTS = _char_slots()
+_WORD = re.compile("[" + "".join(chr(c) for c in range(0x250) if _SLOTS[c]) + "\u0250-\U0010ffff]+")
 
 
-def _hashed(values: np.ndarray, bits: int) -> np.ndarray:
-    return ((values.astype(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+def words(text: str) -> list[str]:
+    """Runs of letters and digits, in lower case; every code point from U+0250 on counts as a letter."""
+    return _WORD.findall(text.lower())
 
 
-def cells(text: str) -> Iterator[np.ndarray]:
-    """The table cell of every character, in arrays of a bounded length."""
-    lowered = text.lower()
-    for start in range(0, len(lowered), _CHARS_AT_ONCE):
+def grams(some: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The gram of every character of the words and of their ends, with the word's place, in bounded arrays."""
+    places = np.repeat(np.arange(len(some)), [len(word) + 1 for word in some])
+    joined = " ".join([*some, ""])
+    for start in range(0, len(joined), _CHARS_AT_ONCE):
         before = min(start, 5)
-        codes = np.frombuffer(
-            lowered[start - before:start + _CHARS_AT_ONCE].encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+        codes = np.frombuffer(joined[start - before:start + _CHARS_AT_ONCE].encode("utf-32-le"), "<u4").astype(np.int64)
         slots = np.where(codes < len(_SLOTS), _SLOTS[np.minimum(codes, len(_SLOTS) - 1)], 28 + codes % 36)
         slots = np.concatenate([np.zeros(5 - before, np.int64), slots])
         n = len(slots) - 5
-        context, inside = [], np.ones(n, bool)
+        out, inside = slots[5:].copy(), np.ones(n, bool)
         for back in range(1, 6):
             one = np.where(inside, slots[5 - back:5 - back + n], 0)
             inside &= one != 0
-            context.append(one)
-        near = _hashed((context[0] << 12 | context[1] << 6 | context[2]) + 1, NEAR_BITS)
-        far = _hashed((context[3] << 6 | context[4]) + 7, FAR_BITS)
-        yield near << (FAR_BITS + CHAR_BITS) | far << CHAR_BITS | slots[5:]
-
-
-def _pack(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<i8").tobytes(), 1)
-
-
-def _slices(tables: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for toxic, table in tables.items():
-        for place in range(CELLS // SLICE):
-            some = table[place * SLICE:(place + 1) * SLICE]
-            if some.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([place], pa.int32()), pa.array([toxic], pa.int32()), pa.array([_pack(some)], pa.binary())],
-                    ["place", "toxic", "counts"])
+            out |= one << (6 * back)
+        yield out, places[start:start + n]
+
+
+def _counted(counts: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+    """Grams of counted words, those of each block of characters added up."""
+    for toxic, found in counts.items():
+        weights = np.fromiter(found.values(), np.int64, len(found))
+        for keys, places in grams(list(found)):
+            distinct, at = np.unique(keys, return_inverse=True)
+            n = np.bincount(at, weights[places], len(distinct)).astype(np.int64)
+            none = np.zeros_like(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(distinct), pa.array(none if toxic else n), pa.array(n if toxic else none)],
+                ["gram", "ordinary", "toxic"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables: dict[int, np.ndarray] = {}
+    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
         names = batch.schema.names
         texts, marks = (batch.column(names.index(c)).to_pylist() for c in ("text", "toxic"))
         for text, toxic in zip(texts, marks):
-            table = tables.setdefault(toxic, np.zeros(CELLS, np.int32))
-            for some in cells(text):
-                np.add.at(table, some, 1)
-    yield from _slices(tables)
+            counts[toxic].update(words(text))
+            if len(counts[toxic]) >= _WORDS_AT_ONCE:
+                yield from _counted({toxic: counts[toxic]})
+                counts[toxic] = Counter()
+    yield from _counted(counts)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum packed slices; a task holds the slices dealt to it, all of them at most 128 MB."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = row["place"], row["toxic"]
-            counts = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-            sums[key] = sums[key] + counts if key in sums else counts
-    for (place, toxic), counts in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([place], pa.int32()), pa.array([toxic], pa.int32()), pa.array([_pack(counts)], pa.binary())],
-            ["place", "toxic", "counts"])
-
-
-def log_ratios(ordinary: np.ndarray, toxic: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """Per cell the log of toxic over ordinary probability, from the two tables of counts."""
-    shape = (1 << NEAR_BITS, 1 << FAR_BITS, 1 << CHAR_BITS)
-    classes = [table.reshape(shape) for table in (ordinary, toxic)]
-    out = np.zeros(shape, np.float32)
-    for at in range(0, shape[0], 256):
-        a, b = (c[at:at + 256] for c in classes)
-        # Shared backoff: in how many longer contexts was the character seen after these three?
-        seen = ((a > 0) | (b > 0)).sum(1).astype(np.float64)
-        total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        shared = np.where(
-            total > 0, (np.maximum(seen - discount, 0) + discount * kinds / shape[2]) / np.maximum(total, 1), 1 / shape[2])
-        logs = []
-        for counts in (a, b):
-            kept = np.maximum(counts - discount, 0)
-            n = counts.sum(2, keepdims=True)
-            left = n - kept.sum(2, keepdims=True) + 0.01
-            logs.append(np.log((kept + left * shared[:, None, :]) / (n + 0.01)))
-        out[at:at + 256] = logs[1] - logs[0]
-    return out.reshape(-1)
-
-
-def evidence(text: str, ratios: np.ndarray) -> float:
-    """Difference of the log-likelihoods over the length plus ``STEADY``; 0 for an empty text."""
-    total, length = 0.0, 0
-    for some in cells(text):
-        total += float(ratios[some].sum(dtype=np.float64))
-        length += len(some)
-    return total / (length + STEADY)
+def gram_counts(training: DataFrame) -> DataFrame:
+    """gram, ordinary, toxic: how often each gram occurs in the texts of each class (text, toxic)."""
+    parts = training.select("text", "toxic").mapInArrow(_count, "gram bigint, ordinary bigint, toxic bigint")
+    return parts.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def log_ratios(counts: DataFrame, discount: float) -> DataFrame:
+    """entry, ratio: the log of toxic over ordinary probability.
+
+    ``entry`` is a gram, or -1 - context for any character not seen after that context in either
+    class: there both classes back off to the same shared probability, and only the mass they leave to
+    it differs. A context never seen leaves both the same mass, so its ratio is 0 and has no row.
+    """
+    near = F.col("gram").bitwiseAND(F.lit(KINDS ** 4 - 1))
+    context = F.shiftright("gram", 6)
+    grams_of = counts.select("gram", "ordinary", "toxic", context.alias("context"), near.alias("near"))
+    # Shared backoff: after how many longer contexts was the character seen, of all after these three?
+    seen = grams_of.groupBy("near").agg(F.count(F.lit(1)).alias("seen"))
+    totals = seen.groupBy(F.shiftright("near", 6).alias("three")).agg(
+        F.sum("seen").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    shared = seen.join(totals, F.shiftright("near", 6) == F.col("three")).select(
+        "near", ((F.greatest(F.col("seen") - discount, F.lit(0.0)) + discount * F.col("kinds") / KINDS)
+                 / F.col("total")).alias("shared"))
+
+    def kept(n: str) -> Column:
+        return F.greatest(F.col(n) - discount, F.lit(0.0))
+
+    contexts = grams_of.groupBy("context").agg(*[
+        made for n in ("ordinary", "toxic") for made in (
+            (F.sum(n) + 0.01).alias(f"{n}_mass"), (F.sum(n) - F.sum(kept(n)) + 0.01).alias(f"{n}_left"))])
+
+    def probability(n: str) -> Column:
+        return (kept(n) + F.col(f"{n}_left") * F.col("shared")) / F.col(f"{n}_mass")
+
+    seen_grams = grams_of.join(contexts, "context").join(shared, "near").select(
+        F.col("gram").alias("entry"), F.log(probability("toxic") / probability("ordinary")).cast("float").alias("ratio"))
+    left = (F.col("toxic_left") / F.col("toxic_mass")) / (F.col("ordinary_left") / F.col("ordinary_mass"))
+    return seen_grams.union(contexts.select((-1 - F.col("context")).alias("entry"), F.log(left).cast("float").alias("ratio")))
+
+
+def _residue() -> Column:
+    return F.when(F.col("entry") < 0, -1 - F.col("entry")).otherwise(F.shiftright("entry", 6)) % RESIDUES
+
+
+@dataclass
+class Slice:
+    """Ratios of the contexts whose residues lie from ``first`` to before ``end``; remembers short words."""
+
+    entries: np.ndarray  # ascending
+    ratios: np.ndarray
+    first: int
+    end: int
+
+    def __post_init__(self) -> None:
+        self.known: dict[str, float] = {}
+
+    def _found(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.entries):
+            return np.zeros(len(entries), bool), np.zeros(len(entries))
+        at = np.minimum(np.searchsorted(self.entries, entries), len(self.entries) - 1)
+        return self.entries[at] == entries, self.ratios[at].astype(np.float64)
+
+    def of_words(self, some: list[str]) -> np.ndarray:
+        out = np.zeros(len(some))
+        for keys, places in grams(some):
+            mine = (keys >> 6) % RESIDUES
+            mine = (mine >= self.first) & (mine < self.end)
+            keys, places = keys[mine], places[mine]
+            hit, ratio = self._found(keys)
+            backed, left = self._found(-1 - (keys >> 6))
+            out += np.bincount(places, np.where(hit, ratio, np.where(backed, left, 0.0)), len(some))
+        return out
+
+    def sums(self, texts: Iterable[str]) -> Iterator[tuple[float, int]]:
+        """This slice's part of each text's log-likelihood difference, and the text's length in characters."""
+        for text in texts:
+            found = Counter(words(text))
+            new = [word for word in found if word not in self.known]
+            if len(self.known) + len(new) > _WORDS_AT_ONCE:
+                self.known = {}
+                new = list(found)
+            now = dict(zip(new, self.of_words(new).tolist())) if new else {}
+            # Sums in one order at every batch size and in every task.
+            total = math.fsum(n * (now[word] if word in now else self.known[word]) for word, n in found.items())
+            self.known.update((word, x) for word, x in now.items() if len(word) <= _LONGEST_REMEMBERED)
+            yield total, sum(n * (len(word) + 1) for word, n in found.items())
+
+
+def log_loss(bins: list[tuple[float, int, int]], slope: float, offset: float) -> float:
+    """Total log loss of (evidence, toxic, rows) under the curve."""
+    return sum(n * float(np.logaddexp(0, (-1 if toxic else 1) * (slope * x + offset))) for x, toxic, n in bins)
 
 
 def logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -178,12 +231,69 @@ def logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 @dataclass
 class Model:
-    ratios: np.ndarray
-    slope: float
-    offset: float
+    ratios: DataFrame  # entry, ratio; written
+    borders: list[tuple[int, int]]  # residues of each slice
+    slope: float = 0.0
+    offset: float = 0.0
+
+    def slice(self, first: int, end: int) -> Slice:
+        rows = self.ratios.filter((_residue() >= first) & (_residue() < end)).toArrow()
+        entries, ratios = (rows.column(c).to_numpy() for c in ("entry", "ratio"))
+        order = entries.argsort()
+        return Slice(entries[order], ratios[order], first, end)
+
+
+def _borders(ratios: DataFrame) -> list[tuple[int, int]]:
+    """Neighbouring residues together up to ``SLICE_ENTRIES``; at least one slice."""
+    sizes = {r["residue"]: r["count"] for r in ratios.groupBy(_residue().alias("residue")).count().collect()}
+    out, first, held = [], 0, 0
+    for residue in range(RESIDUES):
+        n = sizes.get(residue, 0)
+        if held and held + n > SLICE_ENTRIES:
+            out.append((first, residue))
+            first, held = residue, 0
+        held += n
+    return [*out, (first, RESIDUES)]
+
+
+def evidence(rows: DataFrame, model: Model, name: str) -> DataFrame:
+    """``rows`` with the log-likelihood difference over the length plus ``STEADY`` in place of ``text``.
+
+    One pass over the texts for each slice of the model. With several, their parts are written and
+    added up by the other columns and a hash of the text, so rows that agree in all of them stay as many.
+    """
+    spark = rows.sparkSession
+    package_on_workers(spark)
+    others = [c for c in rows.columns if c != "text"]
+    keyed = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)) if len(model.borders) > 1 else rows
+    kept = [c for c in keyed.columns if c != "text"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema if f.name != "text")
+
+    def part(border: tuple[int, int]):
+        shared = spark.sparkContext.broadcast(model.slice(*border))
 
-    def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * evidence(text, self.ratios) + self.offset))))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums = list(shared.value.sums(batch.column(batch.schema.get_field_index("text")).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(batch.schema.get_field_index(c)) for c in kept],
+                     pa.array([x for x, _ in sums], pa.float64()), pa.array([n for _, n in sums], pa.int64())],
+                    [*kept, "part", "length"])
+
+        return shared, keyed.mapInArrow(run, f"{schema}, part double, length bigint")
+
+    value = F.col("part") / (F.col("length") + STEADY)
+    if len(model.borders) == 1:
+        return part(model.borders[0])[1].select(*others, value.alias("evidence"))
+    path = scratch_path(spark, name)
+    for place, border in enumerate(model.borders):
+        shared, sums = part(border)
+        sums.write.parquet(f"{path}/slice={place}")
+        shared.unpersist()
+    added = spark.read.parquet(path).groupBy(*kept, "length").agg(
+        F.sum("part").alias("part"), F.count_if(F.col("slice") == 0).alias("rows"))
+    added = added.withColumn("part", F.col("part") / F.col("rows"))
+    return added.select(*others, value.alias("evidence"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row")).drop("row")
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,51 +308,31 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on all labelled rows outside the held-out fold. Without both classes the ratios are zero."""
-    spark = docs.sparkSession
-    package_on_workers(spark)
+    package_on_workers(docs.sparkSession)
     training = _labelled(docs, labels)
-    counted = training.filter("not calibrates").select("text", "toxic").mapInArrow(
-        _count, "place int, toxic int, counts binary")
-    merged = counted.repartition("place", "toxic").mapInArrow(_merge, "place int, toxic int, counts binary")
-    tables = np.zeros((2, CELLS), np.int64)
-    for row in merged.collect():
-        tables[row.toxic, row.place * SLICE:(row.place + 1) * SLICE] += np.frombuffer(zlib.decompress(row.counts), "<i8")
-    known = tables.any(1).all()
-    ratios = log_ratios(*tables) if known else np.zeros(CELLS, np.float32)
-    del tables
-    shared = spark.sparkContext.broadcast(ratios)
-
-    def measure(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = [max(-2.0, min(2.0, evidence(t, shared.value))) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([round(x / _STEP) for x in found], pa.int32()),
-                 batch.column(batch.schema.get_field_index("toxic"))], ["bin", "toxic"])
-
-    bins = training.filter("calibrates").select("text", "toxic").mapInArrow(measure, "bin int, toxic int")
-    rows = bins.groupBy("bin", "toxic").count().collect()  # at most 32,002 rows
-    slope, offset = logistic([(r["bin"] * _STEP, r["toxic"], r["count"]) for r in rows])
-    shared.unpersist()
-    return Model(ratios, slope, offset)
+    counts = stored(gram_counts(training.filter("not calibrates")), "toxicity-grams")
+    both = counts.agg(F.max("ordinary"), F.max("toxic")).first()
+    known = counts if all(both) else counts.limit(0)
+    calibrating = stored(training.filter("calibrates").select("toxic", "text"), "toxicity-calibrating")
+    tried = []
+    for discount in DISCOUNTS:
+        ratios = stored(log_ratios(known, discount), "toxicity-ratios")
+        model = Model(ratios, _borders(ratios))
+        bins = evidence(calibrating, model, "toxicity-calibration").select(
+            F.round(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), "evidence")) / _STEP).cast("int").alias("bin"), "toxic")
+        rows = bins.groupBy("bin", "toxic").count().collect()  # at most 32,002 rows
+        measured = sorted((r["bin"] * _STEP, r["toxic"], r["count"]) for r in rows)
+        model.slope, model.offset = logistic(measured)
+        tried.append((log_loss(measured, model.slope, model.offset), model))
+    model = min(tried, key=lambda one: one[0])[1]
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-    package_on_workers(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            scores = [shared.value.score(t) for t in batch.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(names.index("doc_id")), batch.column(names.index("held_out")), pa.array(scores, pa.float64())],
-                ["doc_id", "held_out", "score"])
-
-    held_out = fold("doc_id", FOLDS) == HELD_OUT
-    scored = documents(docs).withColumn("held_out", held_out).select("doc_id", "held_out", "text").mapInArrow(
-        run, "doc_id bigint, held_out boolean, score double")
+    rows = documents(docs).withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT).select("doc_id", "held_out", "text")
+    power = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), model.slope * F.col("evidence") + model.offset))
+    scored = evidence(rows, model, "toxicity-parts").select("doc_id", "held_out", (1 / (1 + F.exp(-power))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 

@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 import zlib
 
@@ -8,37 +10,62 @@ from panelwright.llm import toxicity
 from panelwright.llm.queries import QUERIES, table
 
 
-def plain_cells(text):
+def plain_grams(word):
     """The context rule in words: up to five characters back, none beyond the word's start."""
-    out, slots = [], [int(toxicity._SLOTS[ord(c)]) if ord(c) < 0x250 else 28 + ord(c) % 36 for c in text.lower()]
-    for i, slot in enumerate(slots):
-        context, inside = [], True
-        for back in range(1, 6):
-            one = slots[i - back] if inside and i >= back else 0
-            inside = inside and one != 0
-            context.append(one)
-        mix, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
-        near = ((context[0] << 12 | context[1] << 6 | context[2]) + 1) * mix & mask
-        far = ((context[3] << 6 | context[4]) + 7) * mix & mask
-        out.append((near >> 52) << 11 | (far >> 59) << 6 | slot)
-    return out
-
-
-def test_cells(monkeypatch):
-    text = "The idiot's été, 12 梦x\n" * 7 + "abcdefghij"
-    assert np.concatenate(list(toxicity.cells(text))).tolist() == plain_cells(text)
-    monkeypatch.setattr(toxicity, "_CHARS_AT_ONCE", 7)
-    assert np.concatenate(list(toxicity.cells(text))).tolist() == plain_cells(text)
-    assert not list(toxicity.cells(""))
+    slots = [int(toxicity._SLOTS[ord(c)]) if ord(c) < 0x250 else 28 + ord(c) % 36 for c in word] + [0]
+    return [(tuple(slots[max(0, i - 5):i]), slot) for i, slot in enumerate(slots)]
+
 
+def as_long(context, slot):
+    return sum(one << (6 * back) for back, one in enumerate([slot, *reversed(context)]))
 
-def test_both_models_are_distributions():
-    draw = np.random.default_rng(1)
-    tables = draw.poisson(0.02, (2, toxicity.CELLS))
-    ratios = toxicity.log_ratios(*tables).reshape(-1, 64)
-    assert np.isfinite(ratios).all()
-    # One of two distributions is never above the other everywhere.
-    assert (ratios.min(1) <= 1e-4).all() and (ratios.max(1) >= -1e-4).all()
+
+def test_grams(monkeypatch):
+    text = "The idiot's été, 12 梦x\n" * 7 + "abcdefghij"
+    some = toxicity.words(text)
+    assert some[:6] == ["the", "idiot", "s", "été", "12", "梦x"] and some[-1] == "abcdefghij" and not toxicity.words(" ,")
+    plain = [(as_long(*gram), place) for place, word in enumerate(some) for gram in plain_grams(word)]
+    for at_once in (1 << 20, 7):
+        monkeypatch.setattr(toxicity, "_CHARS_AT_ONCE", at_once)
+        assert [(k, p) for keys, places in toxicity.grams(some) for k, p in zip(keys.tolist(), places.tolist())] == plain
+    assert not list(toxicity.grams([]))
+
+
+def plain_log_ratios(texts, discount):
+    """Interpolated Kneser-Ney of both classes from dictionaries, as a function of a gram."""
+    counts = [collections.Counter(g for t, k in texts if k == c for w in toxicity.words(t) for g in plain_grams(w)) for c in (0, 1)]
+    seen = collections.Counter((context[-3:], slot) for context, slot in set(counts[0]) | set(counts[1]))
+
+    def probability(c, context, slot):
+        after = {g: n for g, n in counts[c].items() if g[0] == context}
+        shorter = {g: n for g, n in seen.items() if g[0] == context[-3:]}
+        shared = 1 / 64 if not shorter else (
+            max(shorter.get((context[-3:], slot), 0) - discount, 0) + discount * len(shorter) / 64) / sum(shorter.values())
+        kept = {g: max(n - discount, 0) for g, n in after.items()}
+        left = sum(after.values()) - sum(kept.values()) + 0.01
+        return (kept.get((context, slot), 0) + left * shared) / (sum(after.values()) + 0.01)
+
+    return lambda context, slot: math.log(probability(1, context, slot) / probability(0, context, slot))
+
+
+@pytest.mark.parametrize("entries", [10 ** 6, 40])
+def test_models_match_brute_force(spark, monkeypatch, entries):
+    """With one slice and with many; contexts are told apart exactly, however many there are."""
+    monkeypatch.setattr(toxicity, "SLICE_ENTRIES", entries)
+    texts = [("the cat sat on the mat", 0), ("a toxic catty tone, the idiotic tone", 1), ("idiots sat idly", 1), ("the idea", 0), ("", 1)]
+    plain = plain_log_ratios(texts, 0.75)
+    ratios = toxicity.log_ratios(toxicity.gram_counts(spark.createDataFrame(texts, "text string, toxic int")), 0.75)
+    model = toxicity.Model(ratios, toxicity._borders(ratios))
+    assert (len(model.borders) > 1) == (entries == 40)
+    asked = ["the idiotic cat", "unseen xyzzy tone tone", "", "the idiotic cat", "Ça 12"]
+    got = toxicity.evidence(spark.createDataFrame(list(enumerate(asked[:3])) + [(0, asked[3]), (4, asked[4])], "id int, text string"), model, "t")
+    rows = sorted((r.id, r.evidence) for r in got.collect())
+    want = []
+    for i, text in [(0, asked[0]), (0, asked[0]), (1, asked[1]), (2, ""), (4, asked[4])]:
+        found = [g for w in toxicity.words(text) for g in plain_grams(w)]
+        want.append((i, sum(plain(*g) for g in found) / (len(found) + toxicity.STEADY)))
+    assert [i for i, _ in rows] == [i for i, _ in want]
+    assert [x for _, x in rows] == pytest.approx([x for _, x in want], abs=1e-6)
 
 
 def test_logistic():
@@ -102,3 +129,7 @@ def test_query_on_held_out_rows(spark):
     assert area == pytest.approx(0.7, abs=0.15)  # a third of its toxic rows carry no mark at all
     flagged = [r for r in held if r.predicted]
     assert sum(truth[r.doc_id] for r in flagged) >= 0.9 * len(flagged)
+    order = np.argsort(-scores)
+    hits = marks[order].cumsum()
+    best = (2 * hits / (np.arange(1, len(hits) + 1) + marks.sum())).argmax()
+    assert hits[best] >= 0.45 * marks.sum() and hits[best] >= 0.8 * (best + 1)
