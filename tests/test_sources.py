@@ -1,5 +1,8 @@
 """Files, column names and guards."""
 
+import contextlib
+import random
+
 import pytest
 from pyspark.sql import types as T
 
@@ -45,6 +48,52 @@ def test_csv_loses_nothing_silently(spark, tmp_path, line):
         read_indicator_csv(spark, str(tmp_path / "a.csv"), SCHEMA).collect()
 
 
+def many_splits(spark, size):
+    """Splits of ``size`` bytes while the context lasts."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+
+    @contextlib.contextmanager
+    def changed():
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        try:
+            yield
+        finally:
+            for name in names:
+                spark.conf.unset(name)
+    return changed()
+
+
+@pytest.mark.parametrize("size", [7, 64, 4096, 1 << 20])
+def test_line_breaks_across_splits(spark, tmp_path, size):
+    """Records that begin in one split and end in another, some over several, as one task reads them."""
+    draw = random.Random(size)
+    def text():
+        return '"' + "".join(draw.choice(["a", ",", "\n", '""', " x", "\r\n", "é"]) for _ in range(draw.randrange(30))) + '"'
+    for name, rows in (("a", 300 if size > 7 else 30), ("b", 40), ("c", 0)):
+        body = "".join(f"{text()},{draw.choice(['1', '2.5', 'NA', ''])},{draw.choice(['z', text()])}\n" for _ in range(rows))
+        (tmp_path / f"{name}.csv").write_text(f"name,n,note\n{body}" + ("\n\n" if name == "b" else ""), newline="")
+    want = sorted(map(repr, read_indicator_csv(spark, str(tmp_path), SCHEMA).collect()))
+    with many_splits(spark, size):
+        got = read_indicator_csv(spark, str(tmp_path), SCHEMA, splittable=True)
+        assert sorted(map(repr, got.collect())) == want
+        tasks = spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions()
+        assert size > 4096 or tasks > 1
+
+
+def test_split_quarantine_and_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,n,note\nok,1,"a, b\nc"\nlong,2,a, b\nshort,3\nbad,abc,x\nopen,1,"rest\nof,it\n')
+    with many_splits(spark, 16):
+        good, bad = read_with_quarantine(spark, str(tmp_path), SCHEMA, splittable=True)
+        assert [tuple(r) for r in good.filter("name = 'ok'").collect()] == [("ok", 1.0, "a, b\nc")]
+        assert {"bad,abc,x", "long,2,a, b", "short,3"} <= {r.corrupt_line for r in bad.collect()}
+        with pytest.raises(Exception, match="malformed record"):
+            read_indicator_csv(spark, str(tmp_path), SCHEMA, splittable=True).collect()
+        (tmp_path / "b.csv").write_text("name,note,n\nx,y,1\n")
+        with pytest.raises(Exception, match="another header"):
+            read_indicator_csv(spark, str(tmp_path), SCHEMA, splittable=True).collect()
+
+
 def test_quarantine_keeps_whole_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name,n,note\na,1,x\x01,extra,fields\nb,2,y\x01z\nc,3,"p\nq"\n')
     good, bad = read_with_quarantine(spark, str(tmp_path), SCHEMA)
