@@ -55,6 +55,19 @@ def read_permuted_csv(spark, sf_dir):
     return read_indicator_csv(spark, path, LONG_SCHEMA)
 
 
+@query("src1_read_split_csv", sql("messy_long", """
+SELECT category, indicator, period, value, unit, reported_pct, missing_type,
+       CASE WHEN period % 2 = 0 THEN notes ELSE 'line one' || chr(10) || '"' || period || '", last' END AS notes
+FROM messy_long"""))
+def read_split_csv(spark, sf_dir):
+    """Fields with line breaks, quotes and commas, in files that many tasks may share."""
+    path = scratch_path(spark, "split-csv")
+    broken = F.concat(F.lit('line one\n"'), F.col("period").cast("string"), F.lit('", last'))
+    rows = messy_long(spark, sf_dir)
+    write_table(rows.withColumn("notes", F.when(F.col("period") % 2 == 0, F.col("notes")).otherwise(broken)), path, fmt="csv")
+    return read_indicator_csv(spark, path, LONG_SCHEMA, splittable=True)
+
+
 LINE_SCHEMA = T.StructType([
     T.StructField("category", T.StringType()), T.StructField("indicator", T.StringType()),
     T.StructField("period", T.IntegerType()), T.StructField("value", T.DoubleType()),
