@@ -110,6 +110,50 @@ def contract_drift(new: DataFrame, snapshot: DataFrame, keys: Sequence[str]) ->
     )
 
 
+#: Buckets of keys in a digest; this many numbers are broadcast at most.
+DIGEST_BUCKETS = 1 << 16
+
+
+def _key_hash(keys: Sequence[str], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *[part for k in keys for part in (F.col(k).isNull(), F.col(k))])
+
+
+def differing_buckets(new: DataFrame, snapshot: DataFrame, keys: Sequence[str], buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """``bucket``: the hash buckets whose keys are not the same on both sides.
+
+    Counts, sums and exclusive ors of two key hashes are taken bucket by bucket, those of the snapshot
+    against those of the new side, so a task sends at most one row per bucket whatever it reads.
+    """
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(
+            F.pmod(_key_hash(keys, 1), F.lit(buckets)).cast("int").alias("bucket"), F.lit(sign).alias("sign"),
+            _key_hash(keys, 2).alias("one"), _key_hash(keys, 3).cast("decimal(20,0)").alias("other"))
+
+    digests = side(new, 1).union(side(snapshot, -1)).groupBy("bucket").agg(
+        F.sum("sign").alias("n"), F.bit_xor("one").alias("one"), F.sum(F.col("sign") * F.col("other")).alias("other"))
+    return digests.filter((F.col("n") != 0) | (F.col("one") != 0) | (F.col("other") != 0)).select("bucket")
+
+
+def snapshot_drift(new: DataFrame, snapshot: DataFrame, keys: Sequence[str], buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """``contract_drift`` for large sides that differ in few keys.
+
+    Buckets of keys with equal digests are left where they are; only keys of the others are shuffled
+    and compared. Both sides are read twice. The key columns must have the same types. A key repeated
+    on one side only makes its bucket differ, which costs a comparison and changes no result.
+    """
+    kinds = [dict(df.select(*keys).dtypes) for df in (new, snapshot)]
+    if kinds[0] != kinds[1]:
+        raise ValueError(f"key types differ: {kinds[0]} and {kinds[1]}")
+    found = F.broadcast(differing_buckets(new, snapshot, keys, buckets).select(F.col("bucket").alias("_bucket")))
+
+    def moved(df: DataFrame) -> DataFrame:
+        bucket = F.pmod(_key_hash(keys, 1), F.lit(buckets)).cast("int")
+        return df.select(*keys).withColumn("_key_bucket", bucket).join(
+            found, F.col("_key_bucket") == F.col("_bucket"), "left_semi").select(*keys)
+
+    return contract_drift(moved(new), moved(snapshot), keys)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with more than one row; empty for a valid panel."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)

@@ -96,6 +96,19 @@ def drift(spark, sf_dir):
     return quality.contract_drift(side(F.col("o_orderstatus") == "F"), side(F.col("o_orderstatus") != "F"), ["category", "indicator"])
 
 
+@query("pnl08_snapshot_drift", """
+WITH now AS (SELECT o_orderkey, o_orderstatus FROM orders),
+     snap AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS o_orderstatus FROM orders)
+SELECT o_orderkey, o_orderstatus, 'added' AS status FROM (SELECT * FROM now EXCEPT SELECT * FROM snap)
+UNION ALL
+SELECT o_orderkey, o_orderstatus, 'removed' AS status FROM (SELECT * FROM snap EXCEPT SELECT * FROM now)""")
+def snapshot_drift(spark, sf_dir):
+    """All orders with their status against a snapshot from before any was partly shipped."""
+    now = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    earlier = F.when(F.col("o_orderstatus") == "P", "O").otherwise(F.col("o_orderstatus"))
+    return quality.snapshot_drift(now, now.withColumn("o_orderstatus", earlier), ["o_orderkey", "o_orderstatus"])
+
+
 @query("pnl09_duplicate_keys", """
 SELECT l_partkey, l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS period, CAST(count(*) AS BIGINT) AS n_rows
 FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1""")

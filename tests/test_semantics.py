@@ -130,6 +130,25 @@ def test_distinct_counts_null(spark):
     assert (r.n_indicators, r.n_periods, r.share_value_na, r.share_reported_na) == (2, 2, 0.5, 0.5)
 
 
+def test_snapshot_drift(spark):
+    """The same rows as comparing all keys, with nulls, repeats and empty sides; equal buckets stay where they are."""
+    kind = "a long, b string"
+    old = spark.range(20000).selectExpr("id AS a", "if(id % 7 = 0, NULL, 'x') AS b")
+    new = old.filter("a NOT IN (14, 15)").union(spark.createDataFrame([(None, "x"), (None, None), (99999, ""), (3, "x")], kind))
+    sides = [(new, old), (old, old), (new.limit(0), old.limit(50)), (old.limit(0), old.limit(0))]
+    for now, then in sides:
+        want = sorted(map(repr, quality.contract_drift(now, then, ["a", "b"]).collect()))
+        for buckets in (1, 500):
+            assert sorted(map(repr, quality.snapshot_drift(now, then, ["a", "b"], buckets).collect())) == want
+    # Six keys differ or repeat, so at most six buckets do, and rows of other buckets are not moved.
+    assert 1 <= quality.differing_buckets(new, old, ["a", "b"], 500).count() <= 6
+    assert quality.differing_buckets(old, old.orderBy("b"), ["a", "b"], 500).count() == 0
+    plan = quality.snapshot_drift(old, old, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    with pytest.raises(ValueError, match="types"):
+        quality.snapshot_drift(old, old.selectExpr("CAST(a AS int) AS a", "b"), ["a", "b"])
+
+
 def test_drift_and_duplicates(spark):
     new = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
     old = spark.createDataFrame([("b",), ("c",), (None,)], "k string")
