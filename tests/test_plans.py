@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from panelwright.operators import panel as panels
+from panelwright.sources import write_table
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry_module.QUERIES, entry_module.ORACLES
@@ -119,3 +121,21 @@ def test_query_matches_its_sql(spark, name):
     want = sorted(tuple(plain(v) for v in row) for row in result.fetchall())
     got = sorted(tuple(plain(v) for v in row) for row in df.select(*names).collect())
     assert got == want
+
+
+def test_the_last_period_of_a_partitioned_table_is_one_folder(spark, tmp_path):
+    """The period is known only at run time; folders of other periods are not opened."""
+    path = str(tmp_path / "facts")
+    rows = spark.range(400).selectExpr("id", "CAST(2020 + id % 4 AS int) AS period")
+    write_table(rows, path, partition_by=["period"])
+    facts = spark.read.schema(rows.schema).parquet(path)
+    for old in (tmp_path / "facts" / "period=2021").glob("*.parquet"):
+        old.write_bytes(b"not a table")
+    for crc in (tmp_path / "facts" / "period=2021").glob(".*.crc"):
+        crc.unlink()
+    periods = spark.createDataFrame([(2020,), (2021,), (2022,), (2023,)], "period int")
+    last = panels.latest_period(facts, seen_in=periods)
+    assert re.search(r"PartitionFilters: \[[^\]]*[Ss]ubquery", physical(last))
+    assert last.count() == 100
+    with pytest.raises(Exception):
+        facts.agg({"id": "max"}).collect()
